@@ -38,24 +38,26 @@ from .common import as_bytes, column
 #: Bytes of a word up to which the recursive query contracts it.
 LONGEST = 200
 #: Words in each of the two generations that a worker keeps the ids of.
-CACHE = 200_000
+CACHE = 400_000
 #: Words that one recursive query contracts.
-AT_ONCE = 20_000
+AT_ONCE = 40_000
 
+#: A place packs a pair's rank, its position and its right neighbour's, so that
+#: the least one is the leftmost pair of least rank and says what goes.
 CONTRACT = """
 with recursive step(word, pos, token, going) as (
   select word, pos, token, true from bytes
   union all
   (with pairs as (
-     select word, pos, token, lead(pos) over o as next_pos, token * 65536 + lead(token) over o as pair
+     select word, pos, token, lead(pos) over o as next_pos, token * {size} + lead(token) over o as pair
      from step where going window o as (partition by word order by pos)),
    ranked as (
-     select word, pos, token, next_pos, rank * 1048576 + pos as place
+     select word, pos, token, rank * {size} + pos * {span} + next_pos as place
      from pairs left join merges using (pair)),
-   least as (select word, min(place) as best, max_by(next_pos, -place) as gone from ranked group by word)
-   select word, pos, case when place = best then best // 1048576 else token end, best is not null
+   least as (select word, min(place) as best from ranked group by word)
+   select word, pos, case when place = best then best // {size} else token end, best is not null
    from ranked join least using (word)
-   where gone is null or pos <> gone))
+   where best is null or pos <> best % {span}))
 select word, list(token order by pos) as ids from step where not going group by word
 """
 
@@ -81,15 +83,18 @@ class Codec:
         self.older: dict[str, bytes] = {}
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "256MB", "temp_directory": ""})
         self.db.execute("set preserve_insertion_order = false")
+        # positions take 8 bits each; ids of up to 16 bits leave a pair and a place in 32
+        self.kind, size = ("uinteger", 1 << 16) if len(self.ranks) <= 1 << 16 else ("ubigint", 1 << 24)
+        self.contraction = CONTRACT.format(size=f"{size}::{self.kind}", span=f"256::{self.kind}")
         pairs, ranks = [], []
         for token, rank in self.ranks.items():
             for i in range(1, len(token)):
                 left, right = self.ranks.get(token[:i]), self.ranks.get(token[i:])
                 if left is not None and right is not None:
-                    pairs.append(left * 65536 + right)
+                    pairs.append(left * size + right)
                     ranks.append(rank)
         self.db.register("merge_rows", pa.table({"pair": pa.array(pairs, pa.int64()), "rank": pa.array(ranks, pa.int64())}))
-        self.db.execute("create table merges as select * from merge_rows")
+        self.db.execute(f"create table merges as select pair::{self.kind} as pair, rank::{self.kind} as rank from merge_rows")
         tokens = pa.table({"token": pa.array(self.ranks.values(), pa.int64()), "bytes": pa.array(self.ranks.keys(), pa.binary())})
         self.db.register("token_rows", tokens)
         self.db.execute("create table vocabulary as select * from token_rows")
@@ -101,8 +106,10 @@ class Codec:
         sizes = np.array([len(w) for w in words])
         flat = np.frombuffer(b"".join(words), dtype=np.uint8)
         pos = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        self.db.register("bytes", pa.table({"word": np.repeat(np.arange(len(words)), sizes), "pos": pos, "token": self.byte_ids[flat]}))
-        table = self.db.sql(CONTRACT).to_arrow_table()
+        number = np.uint32 if self.kind == "uinteger" else np.uint64
+        rows = {"word": np.repeat(np.arange(len(words)), sizes), "pos": pos, "token": self.byte_ids[flat]}
+        self.db.register("bytes", pa.table({k: x.astype(number) for k, x in rows.items()}))
+        table = self.db.sql(self.contraction).to_arrow_table()
         self.db.unregister("bytes")
         out: list[bytes] = [b""] * len(words)
         ids = table.column("ids").combine_chunks()
