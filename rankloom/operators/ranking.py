@@ -29,19 +29,22 @@ def unique_top(df: DataFrame, k: int = 50) -> DataFrame:
     return ranked(first, F.col("first"), F.col("item_id"), top=k or None).drop("first")
 
 
-def fuse(lists: DataFrame, weights: dict[str, float], rrf_k: float = 60, top: int | None = 50) -> DataFrame:
+def fuse(lists: DataFrame, weights: dict[str, float], rrf_k: float = 60, top: int | None = 50, clean: bool = False) -> DataFrame:
     """Reciprocal rank fusion: query_key, item_id, rank, score, best_rank.
 
     lists: query_key, channel, item_id, rank. Repeats inside a list are dropped
     and ranks renewed; channels with weight zero drop out. Items are pivoted to
     one row with a rank a channel, and terms added in the order of ``weights``,
-    so scores don't depend on the order of rows.
+    so scores don't depend on the order of rows. clean: the lists are known to
+    have no repeats and ranks from 1, so they aren't ranked again.
     """
     used = {c: w for c, w in weights.items() if w}
     rows = lists.filter(F.col("channel").isin(list(used)))
+    if clean:
+        return fuse_clean(rows, used, rrf_k, top)
     first = rows.groupBy("query_key", "channel", "item_id").agg(F.min("rank").alias("rank"))
-    clean = ranked(first, F.col("rank"), F.col("item_id"), by=["query_key", "channel"], name="place")
-    return fuse_clean(clean.select("query_key", "channel", "item_id", F.col("place").alias("rank")), used, rrf_k, top)
+    again = ranked(first, F.col("rank"), F.col("item_id"), by=["query_key", "channel"], name="place")
+    return fuse_clean(again.select("query_key", "channel", "item_id", F.col("place").alias("rank")), used, rrf_k, top)
 
 
 def fuse_clean(lists: DataFrame, used: dict[str, float], rrf_k: float, top: int | None) -> DataFrame:
@@ -56,6 +59,17 @@ def fuse_clean(lists: DataFrame, used: dict[str, float], rrf_k: float, top: int
     return ranked(wide, *order, top=top).select("query_key", "item_id", "rank", "score", "best_rank")
 
 
+def fuse_systems(lists: DataFrame, systems: dict[str, dict[str, float]], rrf_k: float = 60, top: int = 250) -> DataFrame:
+    """query_key, channel (the system's name), item_id, rank: several fusions of
+    clean lists with one aggregation and one window over all of them."""
+    parts = [F.struct(F.lit(s).alias("system"), F.lit(c).alias("channel"), F.lit(float(w)).alias("weight")) for s, ws in systems.items() for c, w in ws.items() if w]
+    mine = F.filter(F.array(*parts), lambda x: x["channel"] == F.col("channel"))
+    rows = lists.select("query_key", "item_id", "rank", F.explode(mine).alias("x"))
+    scored = rows.groupBy("query_key", F.col("x.system").alias("channel"), "item_id").agg(F.sum(F.col("x.weight") / (F.lit(float(rrf_k)) + F.col("rank"))).alias("score"), F.min("rank").alias("best_rank"))
+    order = (F.round("score", 12).desc(), F.col("best_rank"), F.col("item_id"))
+    return ranked(scored, *order, by=["query_key", "channel"], top=top).select("query_key", "channel", "item_id", "rank")
+
+
 def fuse_grid(lists: DataFrame, configs: DataFrame, top: int = 50) -> DataFrame:
     """Fusion under each config: config, query_key, item_id, rank.
 

@@ -8,6 +8,7 @@ from ..functions import text as T
 from ..operators import bm25, features, filters, history, ranking, sampling, vectors
 from ..operators.ltr import pair_weights, with_ranks
 from ..sources import tables
+from ..sources.shared import written
 from . import sql as S
 from .sql import ALL_LISTS, BASE, BM25, CHANNELS, DENSE, UNION_POOL, fused, top
 
@@ -89,7 +90,7 @@ def dense_local_items(spark, d):
 
 def dense_first_chunk(spark, d):
     q, p = vector_entities(spark, d, *entities(spark, d))
-    rows = vectors.scores(q.select("query_key", "qvector"), p.filter("passage_id < 100"))
+    rows = vectors.top_of_batches(q, p.filter("passage_id < 100"), 50)
     return _ranked(ranking.by_score(rows, top=50))
 
 
@@ -120,7 +121,7 @@ def vector_agreement(spark, d):
     return out.select(*[F.round(c, 6).alias(c) for c in ("min_cosine", "mean_cosine", "max_abs_diff")], "n")
 
 
-def all_lists(spark, d):
+def lists(spark, d):
     """query_key, channel, item_id, rank of all channels, their systems, and the fused list."""
     items, queries = entities(spark, d)
     index = bm25.fit(items)
@@ -131,22 +132,16 @@ def all_lists(spark, d):
     for name, reverse in (("zero", False), ("v2", True)):
         q, p = vector_entities(spark, d, items, queries, reverse)
         parts = parts.unionByName(vectors.channels(q, p, name))
-    systems = None
-    for name, weights in (("bm25", {"bm25_global": 1.0, "bm25_local": 1.15}), ("zero", {"zero_global": 1.0, "zero_local": 1.15}), ("v2", {"v2_global": 1.0, "v2_local": 2.0})):
-        one = ranking.fuse(parts, weights, 60, 250).select("query_key", F.lit(name).alias("channel"), "item_id", "rank")
-        systems = one if systems is None else systems.unionByName(one)
-    final = ranking.fuse(systems, {"bm25": 1.0, "zero": 1.0, "v2": 1.0}, 20, 250).select("query_key", F.lit("fused").alias("channel"), "item_id", "rank")
+    # rankings are stored once, as they are small, and read by all that follows
+    parts = written(parts, "parts")
+    weights = {"bm25": {"bm25_global": 1.0, "bm25_local": 1.15}, "zero": {"zero_global": 1.0, "zero_local": 1.15}, "v2": {"v2_global": 1.0, "v2_local": 2.0}}
+    systems = written(ranking.fuse_systems(parts, weights, 60), "systems")
+    final = written(ranking.fuse_systems(systems, {"fused": {"bm25": 1.0, "zero": 1.0, "v2": 1.0}}, 20), "fused")
     return parts.unionByName(systems).unionByName(final)
 
 
-def lists(spark, d):
-    from ..sources.shared import written
-
-    return written(all_lists(spark, d), "lists")
-
-
 def rrf_three_way(spark, d):
-    return _ranked(ranking.fuse(lists(spark, d), {"bm25": 1.0, "zero": 0.75, "v2": 1.25}, 20, 50))
+    return _ranked(ranking.fuse(lists(spark, d), {"bm25": 1.0, "zero": 0.75, "v2": 1.25}, 20, 50, clean=True))
 
 
 def rrf_weight_grid(spark, d):

@@ -65,25 +65,50 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Passages that one pass over the documents looks for.
+PASSAGES = 20_000
+
+
 def relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
     """query_key, item_id: documents that hold the query's whole passage.
 
-    Passages are matched through their first eight words: documents are cut
-    into word windows and joined on them, and only candidates are searched, so
-    no document meets a passage it shares nothing with.
+    One pass over the documents finds up to ``PASSAGES`` passages at once with an
+    automaton of all of them; more take further passes.
     """
-    width = 8
-    q = table(spark, sf_dir, "benchmark", ["item_id", "text"]).withColumnRenamed("text", "passage")
-    head = F.array_join(F.slice(F.split("passage", " "), 2, width), " ")
-    q = q.select(F.col("item_id").alias("query_key"), "passage", head.alias("head"), (F.size(F.split("passage", " ")) > width).alias("long"))
-    d = table(spark, sf_dir, "documents", ["doc_id", "text"])
-    words = F.split("text", " ")
-    n = F.size(words) - width + 1
-    heads = F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.array_join(F.slice(words, i, width), " "))))
-    spots = d.select("doc_id", F.explode(heads).alias("head"))
-    long = spots.join(q.filter("long"), "head").select("query_key", "passage", "doc_id").distinct()
-    long = long.join(d, "doc_id").filter(F.contains("text", "passage")).select("query_key", F.col("doc_id").alias("item_id"))
-    return long
+    q = table(spark, sf_dir, "benchmark", ["item_id", "text"]).filter(F.length("text") > 0)
+    docs = table(spark, sf_dir, "documents", ["doc_id", "text"]).filter("text is not null")
+    passes = max(1, -(-q.count() // PASSAGES))
+    out = None
+    for k in range(passes):
+        some = q if passes == 1 else q.filter(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k)
+        shared = spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in some.collect()])
+        found = docs.mapInArrow(_finder(shared), "query_key long, item_id long")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _finder(shared):
+    def run(batches):
+        import ahocorasick
+        import pyarrow as pa
+
+        keys: dict[str, list[int]] = {}
+        for key, passage in shared.value:
+            keys.setdefault(passage, []).append(key)
+        automaton = ahocorasick.Automaton()
+        for passage, ids in keys.items():
+            automaton.add_word(passage, (passage, ids))
+        automaton.make_automaton()
+        for batch in batches:
+            q, d = [], []
+            if keys:
+                for doc, text in zip(*(c.to_pylist() for c in batch.columns)):
+                    for ids in {p: ids for _, (p, ids) in automaton.iter(text)}.values():
+                        q += ids
+                        d += [doc] * len(ids)
+            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(d, pa.int64())], names=["query_key", "item_id"])
+
+    return run
 
 
 def passage_vectors(spark: SparkSession, sf_dir: str, n_items: int = 100) -> DataFrame:
