@@ -179,7 +179,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def _verifier(same: Callable) -> Callable:
+def _verifier(same: Callable, prepare: Callable) -> Callable:
     """Links between the members of each group that are the same.
 
     Members are compared until they are known to be connected, so a group of
@@ -191,6 +191,7 @@ def _verifier(same: Callable) -> Callable:
             a, b = [], []
             for ids, payloads in zip(column(batch, "ids").to_pylist(), column(batch, "payloads").to_pylist()):
                 root = list(range(len(ids)))
+                payloads = list(map(prepare, payloads))
 
                 def find(x, root=root):
                     while root[x] != x:
@@ -210,8 +211,9 @@ def _verifier(same: Callable) -> Callable:
     return run
 
 
-def group_links(groups: DataFrame, members: DataFrame, same: Callable, block: int = 200) -> DataFrame:
-    """Links (a, b) between ids of one group whose payloads are the same by ``same``.
+def group_links(groups: DataFrame, members: DataFrame, same: Callable, prepare: Callable = lambda x: x, block: int = 200) -> DataFrame:
+    """Links (a, b) between ids of one group whose payloads, each
+    prepared once, are the same by ``same``.
 
     groups: g, id. members: id, payload. A group of more than ``block`` members
     is dealt out in blocks of pairs of chunks, so that every pair meets in some
@@ -227,7 +229,7 @@ def group_links(groups: DataFrame, members: DataFrame, same: Callable, block: in
         .agg(F.sort_array(F.collect_list(F.struct("id", "payload"))).alias("m"))
         .select(F.col("m.id").alias("ids"), F.col("m.payload").alias("payloads"))
     )
-    return written(dealt.mapInArrow(_verifier(same), "a long, b long"), "group-links")
+    return written(dealt.mapInArrow(_verifier(same, prepare), "a long, b long"), "group-links")
 
 
 def fingerprint_groups(found: DataFrame) -> DataFrame:

@@ -2,8 +2,8 @@
 
 Lines (split at \\n) are normalised (lower case, white space collapsed), and
 equal ones are grouped by a 128-bit hash. Distinct lines of ``fuzzy_words``
-words or more get a 64-bit SimHash of their words and word pairs; the hash is
-cut into ``blocks`` blocks, and lines that agree on all but ``radius`` blocks
+words or more get a 64-bit SimHash of their distinct words (a sign repeated
+between cells weighs no more than a word); the hash is cut into ``blocks`` blocks, and lines that agree on all but ``radius`` blocks
 meet in some bucket by the pigeonhole principle. Inside a bucket, lines within
 ``radius`` bits are candidates; their texts are fetched and linked if their
 edit similarity, 1 - distance / longer length, is ``similarity`` or more. Of
@@ -79,28 +79,48 @@ def edit_distance(a: str, b: str, most: int) -> int:
     return score if score <= most else most + 1
 
 
-def similar(a: str, b: str, similarity: float) -> bool:
-    longer = max(len(a), len(b))
+def with_histogram(text: str) -> tuple[str, np.ndarray]:
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    return text, np.bincount(codes & 127, minlength=128)
+
+
+def similar(a: tuple[str, np.ndarray], b: tuple[str, np.ndarray], similarity: float) -> bool:
+    """Whether 1 - edit distance / longer length is at least ``similarity``.
+
+    Texts come with their character histograms: an edit changes one character
+    into one other at most, which bounds the distance from below.
+    """
+    longer = max(len(a[0]), len(b[0]))
     most = int((1 - similarity) * longer + 1e-9)
-    return edit_distance(a, b, most) <= most
+    change = a[1] - b[1]
+    if max(change[change > 0].sum(), -change[change < 0].sum()) > most:
+        return False
+    return edit_distance(a[0], b[0], most) <= most
+
+
+#: The eight bits of a byte, first one first, in the eight bytes of an integer.
+_SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
+
 
+def simhash_runs(digests: np.ndarray, sizes: np.ndarray, chunk: int = 1 << 17) -> np.ndarray:
+    """SimHash of each run of ``sizes`` (none 0) 8-byte digests, as signed 64-bit integers.
 
-def _simhash_rows(hashes: np.ndarray, sizes: np.ndarray, chunk: int = 1 << 16) -> np.ndarray:
-    """SimHash of each run of ``sizes`` hashes (none empty)."""
+    Bits are counted eight to an integer, in stretches of at most 255 digests.
+    """
     out = np.empty(len(sizes), dtype=np.int64)
+    rows = digests.reshape(-1, 8)
     ends = np.cumsum(sizes)
     i = 0
     while i < len(sizes):
         base = ends[i] - sizes[i]
         j = max(i + 1, int(np.searchsorted(ends, base + chunk, side="right")))
-        part = hashes[base : ends[j - 1]]
-        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1)
-        if j - i == 1:
-            ones = bits.sum(axis=0, dtype=np.int32)[None]
-        else:
-            ones = np.add.reduceat(bits, ends[i:j] - sizes[i:j] - base, axis=0, dtype=np.int32)
-        major = np.packbits(2 * ones > sizes[i:j, None], axis=1)
-        out[i:j] = major.view(">i8").ravel()
+        n = sizes[i:j]
+        parts = -(-n // 255)
+        first = np.cumsum(parts) - parts
+        starts = np.repeat(ends[i:j] - n - base, parts) + 255 * (np.arange(parts.sum()) - np.repeat(first, parts))
+        counts = np.add.reduceat(_SPREAD[rows[base : ends[j - 1]]], starts, axis=0)
+        ones = np.add.reduceat(counts.view(np.uint8).astype(np.int32), first, axis=0)
+        out[i:j] = np.packbits(2 * ones > n[:, None], axis=1).view(">i8").ravel()
         i = j
     return out
 
@@ -114,8 +134,9 @@ def line_rows(docs: DataFrame, fuzzy_words: int = 5) -> DataFrame:
             rid, doc, no, digests, sizes, fuzzy, hashes = [], [], [], [], [], [], []
             digest, word_digest = xxhash.xxh3_128_digest, xxhash.xxh64_digest
             for r, d, text in zip(rids, ids, as_bytes(batch)):
+                text = text.lower() if text.isascii() else text.decode().lower().encode()
                 for k, line in enumerate(text.split(b"\n")):
-                    words = (line.lower() if line.isascii() else line.decode().lower().encode()).split()
+                    words = line.split()
                     if not words:
                         continue
                     digests.append(digest(b" ".join(words)))
@@ -124,29 +145,16 @@ def line_rows(docs: DataFrame, fuzzy_words: int = 5) -> DataFrame:
                     no.append(k)
                     fuzzy.append(len(words) >= fuzzy_words)
                     if fuzzy[-1]:
-                        one = [word_digest(w) for w in words]
-                        hashes += one
-                        sizes.append(len(one))
+                        words = set(words)
+                        hashes.append(b"".join(map(word_digest, words)))
+                        sizes.append(len(words))
             if not rid:
                 continue
             pairs = np.frombuffer(b"".join(digests), dtype=">i8").reshape(-1, 2).astype(np.int64)
             fp = np.zeros(len(rid), dtype=np.int64)
             flags = np.array(fuzzy)
             if flags.any():
-                h = np.frombuffer(b"".join(hashes), dtype=">u8")
-                n = np.array(sizes)
-                # word pairs, from neighbours of one line
-                word = h.astype(np.uint64)
-                pair = (word[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (word[1:] * np.uint64(0xC2B2AE3D27D4EB4F))
-                pair ^= pair >> np.uint64(29)
-                pair *= np.uint64(0x94D049BB133111EB)
-                inside = np.ones(len(word), dtype=bool)
-                inside[np.cumsum(n) - 1] = False
-                line_of = np.repeat(np.arange(len(n)), n)
-                features = np.concatenate([word, pair[inside[:-1]]])
-                owner = np.concatenate([line_of, line_of[inside]])
-                order = np.argsort(owner, kind="stable")
-                fp[flags] = _simhash_rows(np.ascontiguousarray(features[order]).astype(">u8"), 2 * n - 1)
+                fp[flags] = simhash_runs(np.frombuffer(b"".join(hashes), dtype=np.uint8), np.array(sizes))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(rid, pa.int64()), pa.array(doc, pa.int64()), pa.array(no, pa.int32()),
@@ -185,7 +193,7 @@ def fuzzy_links(docs: DataFrame, distinct: DataFrame, radius: int, blocks: int,
     split = texts.select(F.explode("lines").alias("x"), F.split("text", "\n", -1).alias("all"))
     norm = split.select(F.col("x.h1").alias("id"), F.trim(F.regexp_replace(F.lower(F.get("all", F.col("x.line"))), "[\\x20\\x09-\\x0D]+", " ")).alias("payload"))
     ids = groups.join(wanted.select(F.col("h1").alias("id"), "fp"), "fp").select("g", "id")
-    return group_links(ids, norm.dropDuplicates(["id"]), lambda a, b: similar(a, b, similarity))
+    return group_links(ids, norm.dropDuplicates(["id"]), lambda a, b: similar(a, b, similarity), with_histogram)
 
 
 def line_groups(
