@@ -81,7 +81,8 @@ def op7_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .kneser_ney import classify
 
-    return classify(documents(spark, sf_dir), trusted(spark, sf_dir)).drop("rid")
+    rows = classify(documents(spark, sf_dir), trusted(spark, sf_dir))
+    return rows.select("doc_id", "lang", F.round("perplexity", 6).alias("perplexity"), F.round("threshold", 6).alias("threshold"), "kept")
 
 
 def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
