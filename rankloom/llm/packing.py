@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,12 +29,19 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 from .common import as_bytes, column, written
 from .tokens import _tokenizer
 
+#: Signs that end many words.
+ENDS = ".,;:!?"
 #: Words in each of the two generations that a worker keeps the ids of.
-CACHE = 300_000
+CACHE = 500_000
+
+#: Characters of texts whose new words are encoded together.
+GROUP = 1 << 21
 
 #: In texts of these characters only, canonical composition changes nothing,
 #: lower-casing is character by character, and ``str.split`` ends words where
@@ -47,28 +55,48 @@ class WordIds:
 
     def __init__(self, path: str, special: tuple[str, ...] = ("<|startoftext|>", "<|endoftext|>")):
         self.tok, self.special, self.known, self.older = _tokenizer(path), special, {}, {}
-
-    def encode(self, text: str) -> bytes:
-        if not _PLAIN.fullmatch(text) or any(x in text for x in self.special):
-            return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        words = text.lower().split()
-        try:
-            return b"".join([self.known[w] for w in words])
-        except KeyError:
-            self.learn(words)
-        return b"".join([self.known[w] for w in words])
-
-    def learn(self, words: list[str]) -> None:
-        new = {w for w in words if w not in self.known}
+        # lower-cased letters are one pre-token that normalising leaves alone
+        self.letters = Tokenizer(self.tok.model)
+        self.letters.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of each text, learning new words of about GROUP characters of texts at a time."""
+        i = 0
+        while i < len(texts):
+            j, held = i, 0
+            while j < len(texts) and held < GROUP:
+                held += len(texts[j])
+                j += 1
+            plain = [_PLAIN.fullmatch(t) is not None and not any(x in t for x in self.special) for t in texts[i:j]]
+            words = [t.lower().split() if p else () for t, p in zip(texts[i:j], plain)]
+            self.learn(set().union(*words))
+            known = self.known
+            for t, p, w in zip(texts[i:j], plain, words):
+                if p:
+                    yield b"".join([known[x] for x in w])
+                else:
+                    yield array("I", self.tok.encode(t, add_special_tokens=False).ids).tobytes()
+            i = j
+
+    def learn(self, words: set[str]) -> None:
+        new = words.difference(self.known)
         if len(self.known) + len(new) > CACHE:
             self.known, self.older = {}, self.known
-            new = set(words)
-        for w in [w for w in new if w in self.older]:
-            self.known[w] = self.older[w]
-            new.remove(w)
-        ordered = list(new)
-        for w, x in zip(ordered, self.tok.encode_batch(ordered, add_special_tokens=False)):
-            self.known[w] = np.array(x.ids, dtype="<u4").tobytes()
+            new = words
+        known, older = self.known, self.older
+        if older:
+            again = new.intersection(older)
+            known.update((w, older[w]) for w in again)
+            new = new.difference(again)
+        # letters and one sign are two pre-tokens
+        ends = [w for w in new if w[-1] in ENDS and w[:-1].isalpha()]
+        new = new.difference(ends).union([w[:-1] for w in ends], ENDS if ends else ()).difference(known)
+        letters = [w for w in new if w.isalpha()]
+        for tok, some in ((self.letters, letters), (self.tok, list(new.difference(letters)))):
+            for w, x in zip(some, tok.encode_batch_fast(some, add_special_tokens=False)):
+                known[w] = array("I", x.ids).tobytes()
+        for w in ends:
+            known[w] = known[w[:-1]] + known[w[-1]]
 
 
 _encoders: dict[str, WordIds] = {}
@@ -82,8 +110,9 @@ def pieces(docs: DataFrame, path: str, length: int = 2048, end: int = 0) -> Data
         ids = _encoders.setdefault(path, WordIds(path))
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for doc, text in zip(column(batch, "doc_id").to_pylist(), as_bytes(batch)):
-                data = ids.encode(text.decode()) + tail
+            texts = [t.decode() for t in as_bytes(batch)]
+            for doc, data in zip(column(batch, "doc_id").to_pylist(), ids.encode(texts)):
+                data += tail
                 for k, at in enumerate(range(0, len(data), 4 * length)):
                     part = data[at : at + 4 * length]
                     for x, y in zip(out, (doc, k, at // 4, len(part) // 4, zlib.crc32(part))):
