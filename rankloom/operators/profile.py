@@ -70,3 +70,13 @@ def exposure(texts: DataFrame, history: DataFrame, key: str, most: int = 32) ->
         F.count(F.lit(1)).alias("n_texts"), F.avg(F.col("n").isNotNull().cast("int")).alias("seen_share"),
         F.avg((F.coalesce("n", F.lit(0)) <= 1).cast("int")).alias("rare_share"), F.coalesce(F.sum(F.least("n", F.lit(most))), F.lit(0)).alias("capped_rows"),
     )
+
+
+def vocabulary_misses(terms: DataFrame, vocabulary: DataFrame, by: str | None = None) -> DataFrame:
+    """n_tokens, miss_rate (and miss_rate_distinct) of terms that a vocabulary lacks, in all or for each ``by``.
+    terms: term and ``by``; vocabulary: term."""
+    keys = [by] if by else []
+    counts = terms.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("n"))
+    rows = counts.join(vocabulary.select("term", F.lit(1).alias("known")), "term", "left")
+    missing = F.col("known").isNull().cast("int")
+    return rows.groupBy(*keys).agg(F.sum("n").alias("n_tokens"), (F.sum(F.col("n") * missing) / F.sum("n")).alias("miss_rate"), F.avg(missing).alias("miss_rate_distinct"))

@@ -157,6 +157,14 @@ def exposure(spark, d):
     return out.select("n_texts", F.round("seen_share", 6).alias("seen_share"), F.round("rare_share", 6).alias("rare_share"), "capped_rows")
 
 
+def vocabulary_miss(spark, d):
+    """Share of the queries' words that no item title holds."""
+    q = tables.queries(spark, d).select("query_key", F.explode(T.tokenize("search_query")).alias("term"))
+    v = tables.items(spark, d).select(F.explode(T.tokenize("title")).alias("term")).distinct()
+    out = profile.vocabulary_misses(q.withColumn("part", F.col("query_key") % 4), v, "part")
+    return out.select("part", "n_tokens", F.round("miss_rate", 6).alias("miss_rate"), F.round("miss_rate_distinct", 6).alias("miss_rate_distinct"))
+
+
 QUANTILES = "[0.0, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 1.0]"
 HALVES = "e as (select *, user_id % 37 as bucket from events), a as (select * from e where event_id % 3 = 0), b as (select * from e where event_id % 3 <> 0)"
 
@@ -216,12 +224,15 @@ SQL = {
     "exposure": f"""with c as (select {S.clean('p_name')} as q, count(*) as n from lineitem join part on l_partkey = p_partkey group by q),
         t as (select {S.clean('p_name')} as q from part) select count(*) as n_texts, round(avg(cast(n is not null as int)), 6) as seen_share, round(avg(cast(coalesce(n, 0) <= 1 as int)), 6) as rare_share,
         sum(least(n, 32))::bigint as capped_rows from t left join c using (q)""",
+    "vocabulary_miss": BASE + f"""q as (select query_key % 4 as part, unnest({S.tokens('search_query')}) as term from queries), c as (select part, term, count(*) as n from q group by all),
+        v as (select distinct unnest({S.tokens('title')}) as term, 1 as known from items)
+        select part, sum(n)::bigint as n_tokens, round(sum(case when known is null then n else 0 end) / sum(n), 6) as miss_rate, round(avg((known is null)::int), 6) as miss_rate_distinct from c left join v using (term) group by part""",
 }
 
 QUERIES = {
     f.__name__: f
     for f in (
         clean_text, tok_items, dominant_script, min_rating, query_id_sha1, passages, short_views, item_text_stats, char_ngrams, text_overlap, item_priors,
-        service_kind, table_sizes, null_profile, repeated_texts, text_quantiles, pivot_crosstab, pivot_values, share_table, tv_shift, share_ratio, exposure,
+        service_kind, table_sizes, null_profile, repeated_texts, text_quantiles, pivot_crosstab, pivot_values, share_table, tv_shift, share_ratio, exposure, vocabulary_miss,
     )
 }
