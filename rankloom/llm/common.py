@@ -22,12 +22,23 @@ from pyspark.sql import functions as F
 #: each); a larger one is joined by shuffling.
 BROADCAST_ROWS = 500_000
 
+#: Bytes of an Arrow batch, so that a task's memory doesn't grow with the length of texts.
+BATCH_BYTES = 8 << 20
+
 #: ASCII white space that ends a word: \x20 and \x09-\x0D. ``bytes.split()``
 #: splits at exactly these.
 SPACES = " \t\n\x0b\x0c\r"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches of texts to ``BATCH_BYTES``, unless the session asks for a size itself."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) in (None, "64m", "67108864b"):
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     # workers on this machine import the package from where the driver has it
     root = str(Path(__file__).resolve().parents[2])
     spark.sparkContext.environment.setdefault("PYTHONPATH", os.pathsep.join([root, *filter(None, [os.environ.get("PYTHONPATH")])]))
@@ -81,6 +92,7 @@ def keyed(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     Rows that repeat both columns share their ``rid`` and get the same result;
     rows that share only ``doc_id`` stay apart.
     """
+    small_batches(docs.sparkSession)
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text"), F.lit("")).alias("text"),
@@ -126,12 +138,12 @@ def top_by_count(counts: DataFrame, count: str, most: int) -> tuple[int, DataFra
     nothing is sorted and ties stay together. Returns that least count and the
     rows.
     """
-    hist = counts.groupBy(count).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col(count).desc())
+    hist = counts.groupBy(F.col(count).alias("count")).agg(F.count(F.lit(1)).alias("n_rows")).orderBy(F.col("count").desc())
     least, total = None, 0
     for row in hist.toLocalIterator():
-        if total + row["n"] > most:
+        if total + row["n_rows"] > most:
             break
-        total, least = total + row["n"], row[count]
+        total, least = total + row["n_rows"], row["count"]
     if least is None:
         return 0, counts.limit(0)
     return least, counts.filter(F.col(count) >= least)

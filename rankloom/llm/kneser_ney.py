@@ -164,20 +164,21 @@ def perplexities(docs: DataFrame, trusted: DataFrame, hot: int = 1 << 19) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Lookup(*shared.value)
         for batch in batches:
-            sums, sizes, rest = [np.empty(0, np.int64)], [np.empty(0, np.int64)], []
+            sums, sizes, rare, times, rests = ([np.empty(0, np.int64)] for _ in range(5))  # of the whole batch
             for _, part in text_chunks(as_bytes(batch)):
                 grams, counts = byte_grams(part)
                 values, found = known.get(grams)
                 sums.append(per_text(values, counts))
                 sizes.append(counts)
                 owner = np.repeat(np.arange(len(part)), counts)[~found]
-                pairs, times = np.unique(owner << 32 | grams[~found].astype(np.int64), return_counts=True)
-                ends = np.searchsorted(pairs >> 32, np.arange(len(part) + 1))
-                low = (pairs & 0xFFFFFFFF).tolist()
-                rest += [[{"gram": g, "times": t} for g, t in zip(low[a:b], times[a:b].tolist())] for a, b in zip(ends[:-1], ends[1:])]
-            kind = pa.list_(pa.struct([("gram", pa.int64()), ("times", pa.int64())]))
+                pairs, n = np.unique(owner << 32 | grams[~found].astype(np.int64), return_counts=True)
+                rare.append(pairs & 0xFFFFFFFF)
+                times.append(n)
+                rests.append(np.bincount(pairs >> 32, minlength=len(part)))
+            structs = pa.StructArray.from_arrays([pa.array(np.concatenate(rare)), pa.array(np.concatenate(times))], names=["gram", "times"])
+            rest = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.concatenate(rests))]), pa.int32()), structs)
             yield pa.RecordBatch.from_arrays(
-                [column(batch, "rid"), column(batch, "doc_id"), column(batch, "lang"), column(batch, "trusted"), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(sums)), pa.array(rest, kind)],
+                [column(batch, "rid"), column(batch, "doc_id"), column(batch, "lang"), column(batch, "trusted"), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(sums)), rest],
                 names=["rid", "doc_id", "lang", "trusted", "n_grams", "known", "rest"],
             )
 
