@@ -116,3 +116,79 @@ def edit_distance(a, b):
             row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
         last = row
     return last[-1]
+
+
+def majority(items, seed=0):
+    """64-bit majority of the XXH64 of each item."""
+    ones = [0] * 64
+    for x in items:
+        h = xxhash.xxh64_intdigest(x, seed)
+        for b in range(64):
+            ones[b] += h >> b & 1
+    return sum(1 << b for b in range(64) if 2 * ones[b] > len(items))
+
+
+def grouped(keys, linked):
+    """Components of keys under linked(a, b), which is asked for every pair: key -> smallest key."""
+    keys = sorted(keys)
+    root = {k: k for k in keys}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(keys):
+        for b in keys[:i]:
+            if linked(a, b):
+                p, q = find(a), find(b)
+                root[max(p, q)] = min(p, q)
+    return {k: find(k) for k in keys}
+
+
+def line_dedup(rows, radius=2, similarity=0.8, fuzzy_words=5):
+    """rows: (doc_id, text), distinct ids. doc_id -> text: every pair of lines is compared."""
+    norm = {}
+    for d, t in rows:
+        for x in (t or "").split("\n"):
+            low = x.lower().encode()
+            norm[x] = b" ".join(low.split()).decode()
+    fps = {n: majority(set(n.encode().split())) for n in set(norm.values()) if len(n.encode().split()) >= fuzzy_words}
+
+    def linked(a, b):
+        if a not in fps or b not in fps or (fps[a] ^ fps[b]).bit_count() > radius:
+            return False
+        longer = max(len(a), len(b))
+        return abs(len(a) - len(b)) <= 0.2 * longer + 1e-9 and edit_distance(a, b) <= (1 - similarity) * longer + 1e-9
+
+    group = grouped(set(norm.values()), linked)
+    seen, out = set(), {}
+    for d, t in sorted(rows):
+        kept = []
+        for x in (t or "").split("\n"):
+            n = norm[x]
+            if not n or group[n] not in seen:
+                kept.append(x)
+            if n:
+                seen.add(group[n])
+        out[d] = "\n".join(kept)
+    return out
+
+
+def near_duplicates(rows, radius=4, similarity=0.8, shingle=5):
+    """rows: (doc_id, text), distinct ids. The ids that stay: every pair is compared."""
+    low = {d: (t or "").encode().lower().split() for d, t in rows}
+    fps = {d: majority(set(w), 42) for d, w in low.items()}
+    sets = {d: {tuple(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} if w else set() for d, w in low.items()}
+    texts = dict(rows)
+
+    def linked(a, b):
+        if (texts[a] or "") == (texts[b] or ""):
+            return True
+        if (fps[a] ^ fps[b]).bit_count() > radius:
+            return False
+        x, y = sets[a], sets[b]
+        return x == y if not x or not y else len(x & y) >= similarity * len(x | y)
+
+    group = grouped(low, linked)
+    return {d for d in low if group[d] == d}

@@ -133,6 +133,18 @@ def plain_line_dedup(rs, links):
     return out
 
 
+def test_lines_against_all_pairs(spark, odd, sf_dir):
+    for df in both(spark, odd, sf_dir):
+        got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(df).collect()}
+        assert got == brute.line_dedup(pairs(df))
+
+
+def test_near_duplicates_against_all_pairs(spark, odd, sf_dir):
+    for df in both(spark, odd, sf_dir):
+        got = {r["doc_id"] for r in simhash.near_duplicates(df).filter("keep").collect()}
+        assert got == brute.near_duplicates(pairs(df))
+
+
 def test_exact_lines(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(docs, fuzzy_words=10**9).collect()}
@@ -428,12 +440,24 @@ def test_near_groups(odd, awkward, empty):
     for d, t in texts.items():
         by_text.setdefault(t or "", set()).add(got[d])
     assert all(len(c) == 1 for c in by_text.values())
-    base = next(d for d, t in texts.items() if t and "changed" in t)
-    assert sum(c == got[base] for c in got.values()) >= 2
     assert editprint.near_groups(awkward).count() == awkward.count()
     assert editprint.near_groups(empty).count() == 0
 
 
+def test_near_groups_find_edited_texts(spark, odd):
+    rng = np.random.default_rng(6)
+    rows_, n = [], 0
+    for d, t in pairs(odd):
+        words = (t or "").split(" ")
+        if len(words) > 60 and "\n" not in t and n < 10:
+            words[int(rng.integers(len(words)))] = "changed"
+            rows_ += [(n, t), (n + 100, " ".join(words))]
+            n += 1
+    df = spark.createDataFrame(rows_, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in editprint.near_groups(df).collect()}
+    assert sum(got[k] == got[k + 100] for k in range(n)) >= 0.7 * n
+
+
 # --- substrings --------------------------------------------------------------------------------------
 
 
