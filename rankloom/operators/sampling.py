@@ -9,12 +9,13 @@ from ..functions.text import cut
 from .ranking import ranked
 
 
-def shuffled(key: str, seed: int = 42) -> Column:
-    return F.xxhash64(F.col(key), F.lit(seed))
+def shuffled(*keys: str, seed: int = 42) -> Column:
+    """A fixed random order of the keys, that any engine with MD5 can repeat."""
+    return F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed))))
 
 
 def sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    return df.orderBy(shuffled(key, seed), key).limit(n)
+    return df.orderBy(shuffled(key, seed=seed), key).limit(n)
 
 
 def with_strata(queries: DataFrame, pool_sizes: DataFrame, frequency: DataFrame) -> DataFrame:
@@ -34,7 +35,7 @@ def with_strata(queries: DataFrame, pool_sizes: DataFrame, frequency: DataFrame)
 
 def stratified(df: DataFrame, stratum: str, key: str, quotas: DataFrame, seed: int = 42) -> DataFrame:
     """Rows by hash order up to the quota of each stratum (stratum, quota)."""
-    rows = ranked(df, F.xxhash64(F.col(key), F.lit(seed), F.col(stratum)), F.col(key), by=[stratum], name="_place")
+    rows = ranked(df, shuffled(key, stratum, seed=seed), F.col(key), by=[stratum], name="_place")
     return rows.join(quotas, stratum).filter(F.col("_place") <= F.col("quota")).drop("_place", "quota")
 
 
@@ -50,7 +51,7 @@ def proportional_quotas(df: DataFrame, stratum: str, total: int) -> DataFrame:
 
 def folds(df: DataFrame, stratum: str, key: str, k: int = 2, seed: int = 42) -> DataFrame:
     """Adds fold 0..k-1, even within each stratum."""
-    rows = ranked(df, F.xxhash64(F.col(key), F.lit(seed)), F.col(key), by=[stratum], name="_place")
+    rows = ranked(df, shuffled(key, seed=seed), F.col(key), by=[stratum], name="_place")
     return rows.withColumn("fold", ((F.col("_place") - 1) % k).cast("int")).drop("_place")
 
 
@@ -65,7 +66,7 @@ def tail(queries: DataFrame) -> DataFrame:
 
 def category_clustered(pairs: DataFrame, seed: int = 42) -> DataFrame:
     """Sorted so that a batch shares a category, in hash order inside it."""
-    return pairs.orderBy("category", shuffled("item_id", seed), "item_id")
+    return pairs.orderBy("category", shuffled("item_id", seed=seed), "item_id")
 
 
 def pu_bag(frame: DataFrame, seed: int, budget: int = 48, hard_budget: int = 32, hard_fused: int = 75, hard_channel: int = 40) -> DataFrame:
@@ -73,7 +74,7 @@ def pu_bag(frame: DataFrame, seed: int, budget: int = 48, hard_budget: int = 32,
     ``hard_budget`` of them hard (high in the pool or in a channel), the rest
     others, refilled from what is left. frame: query_key, item_id, label, fused, min_rank."""
     hard = (F.col("fused") <= hard_fused) | (F.col("min_rank") <= hard_channel)
-    order = F.xxhash64("query_key", "item_id", F.lit(seed))
+    order = shuffled("query_key", "item_id", seed=seed)
     rows = frame.withColumn("_kind", F.when(F.col("label") == 1, 0).when(hard, 1).otherwise(2))
     rows = ranked(rows, order, F.col("item_id"), by=["query_key", "_kind"], name="_place")
     n_hard = F.sum((F.col("_kind") == 1).cast("int")).over(Window.partitionBy("query_key"))
@@ -100,7 +101,7 @@ def training_pairs(pairs: DataFrame, holdout: DataFrame, signature: list[str], s
     for k, (name, df) in enumerate(steps):
         row = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("step"), F.lit(name).alias("name"), "n")
         counts = row if counts is None else counts.unionByName(row)
-    return steps[-1][1].orderBy(F.xxhash64("query_text", "item_id", F.lit(seed))), counts
+    return steps[-1][1].orderBy(shuffled("query_text", "item_id", seed=seed)), counts
 
 
 def best_passage(pairs: DataFrame, passages: DataFrame) -> DataFrame:

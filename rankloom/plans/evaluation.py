@@ -234,6 +234,10 @@ SQL = {
     "holm": "with p as (select event_type, (count(*) % 97) / 1000.0 as p from events group by event_type), s as (select *, p * (count(*) over () - row_number() over (order by p) + 1) as step from p) select event_type, round(p, 6) as p, round(least(1.0, max(step) over (order by p rows unbounded preceding)), 6) as p_holm from s",
     "freq_buckets": f"with {_clicks} select query_norm, count(*) as n, case when count(*) <= 1 then '0-1' when count(*) <= 5 then '2-5' when count(*) <= 20 then '6-20' else '21+' end as bucket from clicks group by query_norm",
     "strata_counts": _STRATA + " select primary_stratum, query_frequency_bucket, count(*) as n from strata group by all",
+    "stratified_sample": _STRATA + """, n as (select primary_stratum, count(*) as n from strata group by all), e as (select *, n * 20 / sum(n) over () as exact, floor(n * 20 / sum(n) over ())::bigint as base from n),
+        o as (select *, row_number() over (order by exact - base desc, primary_stratum) <= 20 - sum(base) over () as more from e), q as (select primary_stratum, least(n, base + more::int) as quota from o),
+        r as (select query_key, primary_stratum, row_number() over (partition by primary_stratum order by md5(concat_ws('|', query_key::varchar, primary_stratum, '42')), query_key) as k from strata)
+        select query_key, primary_stratum from r join q using (primary_stratum) where k <= quota""",
     "stratum_quotas": """with n as (select lang, count(*) as n from documents group by lang), e as (select *, n * 100 / sum(n) over () as exact, floor(n * 100 / sum(n) over ())::bigint as base from n),
         o as (select *, row_number() over (order by exact - base desc, lang) <= 100 - sum(base) over () as more from e) select lang, least(n, base + more::int)::bigint as quota from o""",
     "kfold_sizes": "with n as (select lang, count(*) as n from documents group by lang) select lang, unnest([0, 1])::int as fold, unnest([(n + 1) // 2, n // 2]) as n from n",

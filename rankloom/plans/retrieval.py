@@ -243,8 +243,8 @@ def click_postings(spark, d):
 
 def _history(spark, d):
     c = tables.clicks(spark, d)
-    q = c.select("query_norm").distinct().select(F.crc32(F.col("query_norm").cast("binary")).alias("query_key"), F.col("query_norm").alias("search_query"))
-    q = q.filter("query_key % 5 = 0")  # the stated query set of this channel
+    q = c.select("query_norm").distinct().select(F.col("query_norm").alias("query_key"), F.col("query_norm").alias("search_query"))
+    q = q.filter("md5(query_key) < '4'")  # the stated query set of this channel: a quarter of the texts, by hash
     texts = c.select(F.col("query_norm").alias("text")).distinct()
     return c, q, history.neighbours(q, texts, 20)
 
@@ -330,7 +330,8 @@ grams as (select text, gram, count(*) as tf from (select text, substr(word, unne
 idf as (select gram, ln((1 + (select count(*) from texts)) / (1 + count(*))) + 1 as idf from grams group by gram having count(*) >= 2),
 raw as (select text, gram, (1 + ln(tf)) * idf as w from grams join idf using (gram)),
 vecs as (select text, gram, w / norm as weight from raw join (select text, sqrt(sum(w * w)) as norm from raw group by text) using (text)),
-near0 as (select a.text as q, b.text, sum(a.weight * b.weight) as similarity from vecs a join vecs b using (gram) where crc(a.text) % 5 = 0 group by all)"""
+near0 as (select a.text as query_key, b.text, sum(a.weight * b.weight) as similarity from vecs a join vecs b using (gram) where md5(a.text) < '4' group by all),
+near as (select * from (select *, cast(row_number() over (partition by query_key order by round(similarity, 9) desc, text) as int) as rank from near0) where rank <= 20)"""
 
 SQL = {
     "bm25_df": _B + " select term, df from terms",
@@ -381,6 +382,12 @@ SQL = {
         (select count(*) from queries where query_key not in (select query_key from fused_list)) as n_missing from fused_list""",
     "ranking_roundtrip": _L + " select query_key, channel, item_id, rank from systems where channel in ('bm25', 'zero')",
     "click_postings": f"select {S.clean('p_name')} as query_norm, l_partkey as item_id, count(*) as clicks from lineitem join part on l_partkey = p_partkey group by all",
+    "history_knn": _HIST + " select query_key, text, round(similarity, 6) as similarity, rank from near",
+    "history_rank": _HIST + """, posted as (select query_norm, item_id, location, count(*) as n from clicks group by all),
+        s as (select query_key, item_id, sum(similarity * similarity * ln(1 + n) * case when location = 'Brand#1' then 1.5::double else 1.0::double end) as score, max(similarity) as best
+          from near join posted on text = query_norm where similarity >= 0.5 group by all)
+        select query_key, item_id, rank, round(score, 6) as score, round(best, 6) as best from (
+          select *, cast(row_number() over (partition by query_key order by round(score, 9) desc, round(best, 9) desc, item_id) as int) as rank from s) where rank <= 100""",
     "history_features": _L + f""", clicks as (select {S.clean('p_name')} as query_norm, l_partkey as item_id from lineitem join part on l_partkey = p_partkey),
         ci as (select item_id, count(*) as n from clicks group by all), cp as (select query_norm, item_id, count(*) as m from clicks group by all),
         p as (select query_key, item_id, min(case when channel = 'bm25' then rank end) as bm25, min(case when channel = 'zero' then rank end) as zero from lists where channel in ('bm25', 'zero') group by all)
@@ -392,6 +399,10 @@ SQL = {
         placed as (select *, 1 / (1 + exp(-(50.5 - row_number() over (partition by query_key order by bm25, fused, item_id)) / 8.0)) as inside from labelled)
         select query_key, a.item_id as pos, b.item_id as neg, round(abs(a.inside - b.inside) / n_relevant, 6) as weight from placed a join placed b using (query_key) join n using (query_key)
         where a.label = 1 and b.label = 0 and abs(a.inside - b.inside) / n_relevant > 1e-6""",
+    "pu_bag": _F + ",\n" + LABELLED + """, k as (select *, case when label = 1 then 0 when fused <= 75 or min_rank <= 40 then 1 else 2 end as kind, md5(concat_ws('|', query_key::varchar, item_id::varchar, '41')) as h from labelled),
+        p as (select *, row_number() over (partition by query_key, kind order by h, item_id) as place, count(*) filter (kind = 1) over (partition by query_key) as n_hard from k),
+        t as (select *, row_number() over (partition by query_key, label order by case when kind = 0 then 0 when (kind = 1 and place <= 32) or (kind = 2 and place <= 48 - least(n_hard, 32)) then 1 else 2 end, h, item_id) as take from p)
+        select query_key, item_id, label, fused, min_rank from t where label = 1 or take <= 48""",
     "hard_negatives": _F + ",\n" + LABELLED + " select query_key, item_id, label, min_rank, cast(place as int) as place from (select *, row_number() over (partition by query_key order by label desc, min_rank, item_id) as place from labelled) where place <= 21",
 }
 
