@@ -38,7 +38,9 @@ from .common import as_bytes, column
 #: Bytes of a word up to which the recursive query contracts it.
 LONGEST = 200
 #: Words in each of the two generations that a worker keeps the ids of.
-CACHE = 400_000
+CACHE = 600_000
+#: Characters of texts that are encoded together.
+GROUP = 1 << 22
 #: Words that one recursive query contracts.
 AT_ONCE = 40_000
 
@@ -150,44 +152,41 @@ class Codec:
         return np.array([self.ranks[x] for x in parts if x is not None], dtype="<u4").tobytes()
 
     def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.known]
+        new = words.difference(self.known)
         if len(self.known) + len(new) > CACHE:
             self.known, self.older = {}, self.known
-            new = list(words)
+            new = words
+        known, older, ranks = self.known, self.older, self.ranks
+        if older:
+            again = new.intersection(older)
+            known.update((w, older[w]) for w in again)
+            new = new.difference(again)
         rest, plain = [], []
         for w in new:
-            if (ids := self.older.get(w)) is not None:
-                self.known[w] = ids
-            elif (rank := self.ranks.get(b := w.encode())) is not None:
-                self.known[w] = rank.to_bytes(4, "little")  # a word that is a token is that token
+            if (rank := ranks.get(b := w.encode())) is not None:
+                known[w] = rank.to_bytes(4, "little")  # a word that is a token is that token
             elif len(b) > LONGEST:
-                self.known[w] = self.by_heap(b)
+                known[w] = self.by_heap(b)
             else:
                 rest.append(w)
                 plain.append(b)
         for i in range(0, len(rest), AT_ONCE):
-            self.known.update(zip(rest[i : i + AT_ONCE], self.contract(plain[i : i + AT_ONCE])))
+            known.update(zip(rest[i : i + AT_ONCE], self.contract(plain[i : i + AT_ONCE])))
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Ids (little-endian, 32 bits) of each text."""
-        group: list[list[str]] = []
-        new: set[str] = set()
-        held = 0
-        for text in texts:
-            words = self.cut.findall(text)
-            group.append(words)
-            held += len(words)
-            new.update(words)
-            if len(new) >= AT_ONCE or held > 2_000_000:
-                yield from self._ids(group, new)
-                group, new, held = [], set(), 0
-        yield from self._ids(group, new)
-
-    def _ids(self, group: list[list[str]], new: set[str]) -> Iterator[bytes]:
-        self.learn(new)
-        known = self.known
-        for words in group:
-            yield b"".join([known[w] for w in words])
+        i = 0
+        while i < len(texts):
+            j, held = i, 0
+            while j < len(texts) and (j == i or held + len(texts[j]) <= GROUP):
+                held += len(texts[j])
+                j += 1
+            words = [self.cut.findall(t) for t in texts[i:j]]
+            self.learn(set().union(*words))
+            known = self.known
+            for ws in words:
+                yield b"".join([known[w] for w in ws])
+            i = j
 
     def decode(self, texts: list[bytes]) -> list[bytes]:
         """Bytes of each sequence of ids, by an ordered aggregation."""
