@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
-from tokenizers.pre_tokenizers import ByteLevel
+from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
 from .common import as_bytes, column, written
 from .tokens import _tokenizer
@@ -38,8 +38,10 @@ from .tokens import _tokenizer
 #: Signs that end many words.
 ENDS = ".,;:!?"
 #: Words in each of the two generations that a worker keeps the ids of.
-CACHE = 500_000
+CACHE = 400_000
 
+#: New words of letters that go through the library as one text.
+TOGETHER = 2000
 #: Characters of texts whose new words are encoded together.
 GROUP = 1 << 21
 
@@ -55,9 +57,12 @@ class WordIds:
 
     def __init__(self, path: str, special: tuple[str, ...] = ("<|startoftext|>", "<|endoftext|>")):
         self.tok, self.special, self.known, self.older = _tokenizer(path), special, {}, {}
-        # lower-cased letters are one pre-token that normalising leaves alone
+        # lower-cased letters are one pre-token that normalising leaves alone; its last token says so
         self.letters = Tokenizer(self.tok.model)
-        self.letters.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.ends_word = np.zeros(self.tok.get_vocab_size(), dtype=bool)
+        for token, k in self.tok.get_vocab().items():
+            self.ends_word[k] = token.endswith("</w>")
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text, learning new words of about GROUP characters of texts at a time."""
@@ -92,9 +97,14 @@ class WordIds:
         ends = [w for w in new if w[-1] in ENDS and w[:-1].isalpha()]
         new = new.difference(ends).union([w[:-1] for w in ends], ENDS if ends else ()).difference(known)
         letters = [w for w in new if w.isalpha()]
-        for tok, some in ((self.letters, letters), (self.tok, list(new.difference(letters)))):
-            for w, x in zip(some, tok.encode_batch_fast(some, add_special_tokens=False)):
-                known[w] = array("I", x.ids).tobytes()
+        for i in range(0, len(letters), TOGETHER):
+            some = letters[i : i + TOGETHER]
+            ids = np.array(self.letters.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            data, cuts = ids.tobytes(), [0, *(4 * np.flatnonzero(self.ends_word[ids]) + 4).tolist()]
+            known.update((w, data[a:b]) for w, a, b in zip(some, cuts, cuts[1:]))
+        others = list(new.difference(letters))
+        for w, x in zip(others, self.tok.encode_batch_fast(others, add_special_tokens=False)):
+            known[w] = array("I", x.ids).tobytes()
         for w in ends:
             known[w] = known[w[:-1]] + known[w[-1]]
 
