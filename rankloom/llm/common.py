@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 #: A side with no more rows than this may be broadcast (a few narrow columns
 #: each); a larger one is joined by shuffling.
 BROADCAST_ROWS = 500_000
+BROADCAST_ITEMS = 4_000_000
 
 #: Bytes of an Arrow batch, so that a task's memory doesn't grow with the length of texts.
 BATCH_BYTES = 8 << 20
@@ -76,13 +77,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sized(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``most`` rows.
+def sized(df: DataFrame, most: int = BROADCAST_ROWS, array: str | None = None) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``most`` rows and, in the
+    column ``array``, at most ``BROADCAST_ITEMS`` items in all.
 
-    ``df`` should be a written table, so that counting is a metadata read.
-    A larger side comes back without a hint and is joined by shuffling.
+    ``df`` should be a written table, so that counting reads its metadata or one
+    column. A larger side comes back without a hint and is joined by shuffling.
     """
-    return F.broadcast(df) if df.count() <= most else df
+    items = F.coalesce(F.sum(F.size(array)), F.lit(0)) if array else F.lit(0)
+    row = df.agg(F.count(F.lit(1)).alias("n"), items.alias("items")).first()
+    return F.broadcast(df) if row["n"] <= most and row["items"] <= BROADCAST_ITEMS else df
 
 
 def keyed(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:

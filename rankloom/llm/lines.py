@@ -187,9 +187,9 @@ def fuzzy_links(docs: DataFrame, distinct: DataFrame, radius: int, blocks: int,
     groups = written(fingerprint_groups(found).unionByName(alone), "line-groups")
     if groups.isEmpty():
         return groups.select(F.col("g").alias("a"), F.col("fp").alias("b"))
-    wanted = written(fuzzy.join(sized(groups.select("fp").distinct()), "fp", "left_semi").select("h1", "fp", "first"), "line-wanted")
+    wanted = written(fuzzy.join(sized(written(groups.select("fp").distinct(), "line-fps")), "fp", "left_semi").select("h1", "fp", "first"), "line-wanted")
     by_doc = wanted.groupBy("first.rid").agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "h1")).alias("lines"))
-    texts = docs.join(sized(written(by_doc, "line-docs"), 200_000), "rid")
+    texts = docs.join(sized(written(by_doc, "line-docs"), 200_000, "lines"), "rid")
     split = texts.select(F.explode("lines").alias("x"), F.split("text", "\n", -1).alias("all"))
     norm = split.select(F.col("x.h1").alias("id"), F.trim(F.regexp_replace(F.lower(F.get("all", F.col("x.line"))), "[\\x20\\x09-\\x0D]+", " ")).alias("payload"))
     ids = groups.join(wanted.select(F.col("h1").alias("id"), "fp"), "fp").select("g", "id")
@@ -225,7 +225,7 @@ def dedup_lines(docs: DataFrame, similarity: float = 0.8, radius: int = 2, block
         .groupBy("rid")
         .agg(F.array_distinct(F.collect_list("line")).alias("gone"))
     )
-    gone = sized(written(gone, "line-gone"), 200_000)
+    gone = sized(written(gone, "line-gone"), 200_000, "gone")
     cols = rows.join(gone, "rid", "left").withColumn("text", F.col("text").cast("binary"))
 
     def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
