@@ -218,10 +218,12 @@ class WindowIndex:
             hits = hits.unionByName(run.join(shared, "anchor").withColumn("new", F.lit(False)))
         wanted = written(hits.groupBy("rid", "new").agg(F.collect_set("anchor").alias("wanted")), "wanted")
         self.store = docs if self.store is None else self.store.unionByName(docs)
-        source = self.store.join(sized(wanted, 200_000), "rid").withColumn("doc_id", F.coalesce("doc_id", F.lit(_LAST)))
+        source = self.store.join(sized(wanted, 200_000, "wanted"), "rid").withColumn("doc_id", F.coalesce("doc_id", F.lit(_LAST)))
         windows = written(candidate_windows(source, self.window), "windows")
         least = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
-        repeated = windows.filter("new").join(least.select("h1", "h2", "least"), ["h1", "h2"]).filter("doc_id > least")
+        # written first, so that both sides of the join are plain exchanges, which adaptive execution splits where a window is in very many documents
+        least = written(least.select("h1", "h2", "least"), "least")
+        repeated = windows.filter("new").join(least, ["h1", "h2"]).filter("doc_id > least")
         starts = repeated.groupBy("rid").agg(F.sort_array(F.collect_set("start")).alias("s"))
         # of a run of starts, its ends and every window-th start cover the same words
         near = lambda x, i, k: F.coalesce(F.abs(F.get("s", i + k) - x) > 1, F.lit(True))
@@ -269,7 +271,7 @@ def dedup_substrings(docs: DataFrame, window: int = 50, batches: int = 2, fanout
     every = copies.filter("copy").select("rid", F.lit(True).alias("copy"), F.lit(None).cast("array<int>").alias("starts"))
     gone = every.unionByName(starts.select("rid", F.lit(False).alias("copy"), "starts"))
     gone = written(gone.groupBy("rid").agg(F.max("copy").alias("copy"), F.first("starts", ignorenulls=True).alias("starts")), "gone")
-    cols = rows.withColumn("text", F.col("text").cast("binary")).join(sized(gone, 200_000), "rid", "left")
+    cols = rows.withColumn("text", F.col("text").cast("binary")).join(sized(gone, 200_000, "starts"), "rid", "left")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
