@@ -12,12 +12,12 @@ from .sql import BASE, ITEMS
 
 
 def clean_text(spark, d):
-    rows = tables.table(spark, d, "documents", ["doc_id", "text"])
+    rows = tables.spread(tables.table(spark, d, "documents", ["doc_id", "text"]), "doc_id")
     return rows.select("doc_id", F.md5(T.clean("text")).alias("clean_md5"), F.length(T.clean("text")).cast("long").alias("n_clean"))
 
 
 def tok_items(spark, d):
-    rows = tables.table(spark, d, "documents", ["doc_id", "text"])
+    rows = tables.spread(tables.table(spark, d, "documents", ["doc_id", "text"]), "doc_id")
     t = T.tokenize("text")
     return rows.select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.size(F.array_distinct(t)).cast("long").alias("n_distinct"), F.md5(F.array_join(t, " ")).alias("tokens_md5"))
 

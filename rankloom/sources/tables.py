@@ -21,6 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None
     return df.select(*columns) if columns else df
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df over all cores where its files give fewer tasks than that; as read where they give enough."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def table_profile(spark: SparkSession, sf_dir: str, names: list[str]) -> DataFrame:
     """table, n_rows, n_columns; row counts come from file footers."""
     rows = None
@@ -34,12 +40,18 @@ def table_profile(spark: SparkSession, sf_dir: str, names: list[str]) -> DataFra
 # --- entities of the search domain, from the driver's tables -----------------
 
 
+def first_tokens(column: str, n: int, chars: int = 1000):
+    """The first n tokens, from the text's start alone where that holds more than n of them."""
+    start = T.tokenize(F.substring(column, 1, chars))
+    return F.array_join(F.when(F.size(start) > n, F.slice(start, 1, n)).otherwise(F.slice(T.tokenize(column), 1, n)), " ")
+
+
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents", ["doc_id", "text", "lang", "source", "n_chars"])
+    docs = spread(table(spark, sf_dir, "documents", ["doc_id", "text", "lang", "source", "n_chars"]), "doc_id")
     category = F.expr("case lang when 'en' then 1 when 'es' then 2 when 'fr' then 3 when 'de' then 4 else 0 end")
     return docs.select(
         F.col("doc_id").alias("item_id"),
-        F.array_join(F.slice(T.tokenize("text"), 1, 8), " ").alias("title"),
+        first_tokens("text", 8).alias("title"),
         F.concat_ws(" ", "lang", "source").alias("params"),
         F.col("text").alias("description"),
         category.cast("long").alias("category"),
@@ -57,7 +69,7 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("item_id")
     return rows.select(
         key.alias("query_key"),
-        F.array_join(F.slice(T.tokenize("text"), 1, 6), " ").alias("search_query"),
+        first_tokens("text", 6).alias("search_query"),
         (key % 5).alias("category"),
         (key % 20).alias("location"),
         (key % 10 == 9).cast("long").alias("delivery"),
@@ -76,7 +88,7 @@ def relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
     automaton of all of them; more take further passes.
     """
     q = table(spark, sf_dir, "benchmark", ["item_id", "text"]).filter(F.length("text") > 0)
-    docs = table(spark, sf_dir, "documents", ["doc_id", "text"]).filter("text is not null")
+    docs = spread(table(spark, sf_dir, "documents", ["doc_id", "text"]), "doc_id").filter("text is not null")
     passes = max(1, -(-q.count() // PASSAGES))
     out = None
     for k in range(passes):
