@@ -43,7 +43,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     # workers on this machine import the package from where the driver has it
     root = str(Path(__file__).resolve().parents[2])
     spark.sparkContext.environment.setdefault("PYTHONPATH", os.pathsep.join([root, *filter(None, [os.environ.get("PYTHONPATH")])]))
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    # few files give fewer tasks than cores
+    cores = spark.sparkContext.defaultParallelism
+    return docs.repartition(cores, "doc_id") if docs.rdd.getNumPartitions() < cores else docs
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
