@@ -232,6 +232,33 @@ def group_links(groups: DataFrame, members: DataFrame, same: Callable, prepare:
     return written(dealt.mapInArrow(_verifier(same, prepare), "a long, b long"), "group-links")
 
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows sorted by (key, id): the rows whose key has several ids, each once."""
+    held, again = np.empty((0, 2), dtype=np.int64), False
+    for batch in batches:
+        rows = np.concatenate([held, np.column_stack([numbers(batch, x).astype(np.int64) for x in ("key", "id")])])
+        if not len(rows):
+            continue
+        rows = rows[np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)])]
+        same = rows[1:, 0] == rows[:-1, 0]
+        out = rows[:-1][same | np.concatenate([[again], same])[:-1]]
+        held, again = rows[-1:], bool(same[-1]) if len(same) else again
+        yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["key", "id"])
+    if again:
+        yield pa.RecordBatch.from_arrays([pa.array(held[:, 0]), pa.array(held[:, 1])], names=["key", "id"])
+
+
+def key_groups(rows: DataFrame, small: int = 64) -> DataFrame:
+    """g, id: the ids that share a key; sets of up to ``small`` ids once however many keys have them.
+    rows: key, id (long)."""
+    several = rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_shared, "key long, id long")
+    several = written(several, "key-ids")
+    sizes = several.join(several.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key")
+    sets = sizes.filter(F.col("n") <= small).groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("ids").distinct()
+    sets = sets.select(F.xxhash64("ids").alias("g"), F.explode("ids").alias("id"))
+    return written(sets.unionByName(sizes.filter(F.col("n") > small).select(F.col("key").alias("g"), "id")), "key-groups")
+
+
 def fingerprint_groups(found: DataFrame) -> DataFrame:
     """g, fp: the components inside buckets, each once however many buckets have it.
     found: what ``bucket_links`` returns."""

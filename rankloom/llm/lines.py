@@ -5,7 +5,9 @@ equal ones are grouped by a 128-bit hash. Distinct lines of ``fuzzy_words``
 words or more get a 64-bit SimHash of their distinct words (a sign repeated
 between cells weighs no more than a word); the hash is cut into ``blocks`` blocks, and lines that agree on all but ``radius`` blocks
 meet in some bucket by the pigeonhole principle. Inside a bucket, lines within
-``radius`` bits are candidates; their texts are fetched and linked if their
+``radius`` bits are candidates. One replaced word moves a short line's SimHash
+by more bits than that, so lines that agree on a band of min-hashes of their
+character n-grams (``gram_rows``), in which an edit weighs little, are candidates too. Their texts are fetched and linked if their
 edit similarity, 1 - distance / longer length, is ``similarity`` or more. Of
 each connected group the occurrence with the smallest (doc_id, line number)
 stays; every other occurrence is removed, within and across documents.
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, carried, carried_names, carried_schema, column, keyed, sized, written
-from .graph import bucket_links, components, fingerprint_groups, group_links
+from .graph import bucket_links, components, fingerprint_groups, group_links, key_groups
 
 LINE_SCHEMA = "rid long, doc_id long, line int, h1 long, h2 long, fp long, fuzzy boolean"
 
@@ -166,6 +168,69 @@ def line_rows(docs: DataFrame, fuzzy_words: int = 5) -> DataFrame:
     return docs.select("rid", "doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, LINE_SCHEMA)
 
 
+#: (n, least, most): the n of lines of that many characters. The spans overlap, so that
+#: the lines of any pair whose lengths differ by up to a fifth have one n in common.
+GRAMS = ((3, 1, 39), (6, 32, 1 << 62))
+#: Min-hashes of a band.
+BAND_ROWS = 4
+
+
+def gram_keys(lines: list[str], n: int, bands: int) -> np.ndarray:
+    """A key for each line (of n - 2 characters at least) and band, from min-hashes of
+    the n-grams of the line between two spaces."""
+    rng = np.random.default_rng((20240229, n))
+    salts = rng.integers(1 << 32, size=(2, bands, BAND_ROWS), dtype=np.uint32)
+    codes = np.frombuffer(f" {' '.join(lines)} ".encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    grams = np.zeros(len(codes) - n + 1, dtype=np.uint32)
+    for k in range(n):
+        grams = grams * np.uint32(0x9E3779B1) ^ codes[k : len(grams) + k]
+        grams ^= grams >> np.uint32(15)
+    grams = (grams ^ grams >> np.uint32(16)) * np.uint32(0x85EBCA6B)
+    grams = np.append(grams ^ grams >> np.uint32(13), np.uint32(0))
+    sizes = np.array([len(x) for x in lines])
+    starts = np.cumsum(sizes + 1) - sizes - 1
+    cuts = np.column_stack([starts, starts + sizes + 3 - n]).ravel()
+    out = np.empty((len(lines), bands), dtype=np.uint64)
+    for b in range(bands):
+        key = np.full(len(lines), (n << 16) + b, dtype=np.uint64)
+        for x, a in zip(salts[0, b], salts[1, b] | np.uint32(1)):
+            least = np.minimum.reduceat((grams ^ x) * a, cuts)[::2]
+            key = (key ^ least) * np.uint64(0x9E3779B97F4A7C15)
+            key ^= key >> np.uint64(29)
+        out[:, b] = key
+    return out.view(np.int64)
+
+
+def gram_rows(docs: DataFrame, fuzzy_words: int, bands: int, chunk: int = 1 << 17) -> DataFrame:
+    """key, id (h1): the band keys of each line of ``fuzzy_words`` words or more. docs: text.
+    Lines that agree on a key are candidates."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: dict[bytes, str] = {}
+            for text in as_bytes(batch):
+                text = text.lower() if text.isascii() else text.decode().lower().encode()
+                for line in text.split(b"\n"):
+                    words = line.split()
+                    if words and len(words) >= fuzzy_words:
+                        norm = b" ".join(words)
+                        seen.setdefault(xxhash.xxh3_128_digest(norm), norm.decode())
+            for n, least, most in GRAMS:
+                some = [(d, x) for d, x in seen.items() if least <= len(x) <= most]
+                i = 0
+                while i < len(some):
+                    j, size = i, 0
+                    while j < len(some) and (j == i or size + len(some[j][1]) <= chunk):
+                        size += len(some[j][1])
+                        j += 1
+                    ids = np.frombuffer(b"".join(d[:8] for d, _ in some[i:j]), dtype=">i8").astype(np.int64)
+                    keys = gram_keys([x for _, x in some[i:j]], n, bands)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(ids, bands))], names=["key", "id"])
+                    i = j
+
+    return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "key long, id long")
+
+
 def block_keys(blocks: int, radius: int, bits: int = 64) -> list[int]:
     """A mask for each choice of blocks that a pair within ``radius`` bits may share."""
     from itertools import combinations
@@ -176,7 +241,7 @@ def block_keys(blocks: int, radius: int, bits: int = 64) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def fuzzy_links(docs: DataFrame, distinct: DataFrame, radius: int, blocks: int, similarity: float) -> DataFrame:
+def fuzzy_links(docs: DataFrame, distinct: DataFrame, radius: int, blocks: int, similarity: float, fuzzy_words: int, bands: int) -> DataFrame:
     """Links (a, b) between the h1 of similar lines. distinct: h1, fp, fuzzy, first."""
     fuzzy = distinct.filter("fuzzy")
     # lines of one fingerprint are one node here and all become members below
@@ -184,20 +249,22 @@ def fuzzy_links(docs: DataFrame, distinct: DataFrame, radius: int, blocks: int,
     tables = F.array(*[F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m))) for k, m in enumerate(block_keys(blocks, radius))])
     found = bucket_links(nodes.select(F.explode(tables).alias("key"), F.col("fp").alias("id"), "fp"), radius)
     alone = nodes.filter("same > 1").select(F.xxhash64("fp").alias("g"), "fp")
-    groups = written(fingerprint_groups(found).unionByName(alone), "line-groups")
+    prints = written(fingerprint_groups(found).unionByName(alone), "line-groups")
+    groups = fuzzy.join(sized(prints), "fp").select("g", F.col("h1").alias("id"))
+    groups = written(groups.unionByName(key_groups(gram_rows(docs, fuzzy_words, bands))).distinct(), "line-members")
     if groups.isEmpty():
-        return groups.select(F.col("g").alias("a"), F.col("fp").alias("b"))
-    wanted = written(fuzzy.join(sized(written(groups.select("fp").distinct(), "line-fps")), "fp", "left_semi").select("h1", "fp", "first"), "line-wanted")
+        return groups.select(F.col("g").alias("a"), F.col("id").alias("b"))
+    ids = sized(written(groups.select(F.col("id").alias("h1")).distinct(), "line-ids"))
+    wanted = written(fuzzy.join(ids, "h1", "left_semi").select("h1", "first"), "line-wanted")
     by_doc = wanted.groupBy("first.rid").agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "h1")).alias("lines"))
     texts = docs.join(sized(written(by_doc, "line-docs"), 200_000, "lines"), "rid")
     split = texts.select(F.explode("lines").alias("x"), F.split("text", "\n", -1).alias("all"))
     norm = split.select(F.col("x.h1").alias("id"), F.trim(F.regexp_replace(F.lower(F.get("all", F.col("x.line"))), "[\\x20\\x09-\\x0D]+", " ")).alias("payload"))
-    ids = groups.join(wanted.select(F.col("h1").alias("id"), "fp"), "fp").select("g", "id")
-    return group_links(ids, norm.dropDuplicates(["id"]), lambda a, b: similar(a, b, similarity), with_histogram)
+    return group_links(groups, norm.dropDuplicates(["id"]), lambda a, b: similar(a, b, similarity), with_histogram)
 
 
 def line_groups(
-    docs: DataFrame, similarity: float = 0.8, radius: int = 2, blocks: int = 4, fuzzy_words: int = 5
+    docs: DataFrame, similarity: float = 0.8, radius: int = 2, blocks: int = 4, fuzzy_words: int = 1, bands: int = 20
 ) -> tuple[DataFrame, DataFrame]:
     """The lines (rid, doc_id, line, h1, h2) and, for each line text that occurs
     again or is linked, the occurrence that stays: h1, h2, keep (struct)."""
@@ -206,7 +273,7 @@ def line_groups(
     distinct = written(
         lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), F.min("fp").alias("fp"), F.max("fuzzy").alias("fuzzy")), "line-texts"
     )
-    roots = components(fuzzy_links(docs, distinct, radius, blocks, similarity))
+    roots = components(fuzzy_links(docs, distinct, radius, blocks, similarity, fuzzy_words, bands))
     roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     linked = written(roots.withColumnRenamed("node", "h1").join(distinct.select("h1", "h2", "first"), "h1"), "line-roots")
     kept = linked.join(linked.groupBy("root").agg(F.min("first").alias("keep")), "root").select("h1", "h2", "keep")
@@ -214,11 +281,13 @@ def line_groups(
     return lines, again.unionByName(kept)
 
 
-def dedup_lines(docs: DataFrame, similarity: float = 0.8, radius: int = 2, blocks: int = 4, fuzzy_words: int = 5, carry: Sequence[str] = ()) -> DataFrame:
+def dedup_lines(
+    docs: DataFrame, similarity: float = 0.8, radius: int = 2, blocks: int = 4, fuzzy_words: int = 1, carry: Sequence[str] = (), bands: int = 20
+) -> DataFrame:
     """doc_id, text (without the removed lines), n_lines, n_removed and the
     columns to carry: a row for each row of docs."""
     rows = keyed(docs, carry)
-    lines, keep = line_groups(rows, similarity, radius, blocks, fuzzy_words)
+    lines, keep = line_groups(rows, similarity, radius, blocks, fuzzy_words, bands)
     gone = (
         lines.join(written(keep, "line-keep"), ["h1", "h2"])
         .filter(~((F.col("rid") == F.col("keep.rid")) & (F.col("line") == F.col("keep.line"))))

@@ -489,3 +489,26 @@ def test_window_hashes_are_equal_only_for_equal_windows():
     assert all(len(v) == 1 for v in keys.values()) and len(set.union(*keys.values())) == len(keys)
     x = np.arange(20)[::-1] % 7
     assert substrings.sliding_least(x, 6).tolist() == [min(x[i : i + 6]) for i in range(15)]
+
+
+def test_lines_with_few_edits_are_found_at_the_defaults(spark):
+    """One word or character replaced, in short, ordinary and unspaced lines, without a radius in the plain version."""
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcdefghiklmnoprstu"), int(rng.integers(4, 9))))
+    near = []
+    for n in (5, 10, 20, 50):
+        for _ in range(25):
+            w = [word() for _ in range(n)]
+            v = list(w)
+            v[int(rng.integers(n))] = word()
+            near.append((" ".join(w), " ".join(v)))
+    for n in (12, 60):  # unspaced, one character replaced
+        for _ in range(25):
+            x = "".join(rng.choice(list("abcdefghiklmnoprstu"), n))
+            k = int(rng.integers(n))
+            near.append((x, x[:k] + "z" + x[k + 1 :]))
+    near = [(a, b) for a, b in near if brute.edit_distance(a, b) <= 0.2 * max(len(a), len(b))]
+    docs = spark.createDataFrame([(2 * k + i, x) for k, p in enumerate(near) for i, x in enumerate(p)], "doc_id long, text string")
+    gone = {r["doc_id"] for r in lines.dedup_lines(docs).filter("n_removed = 1").collect()}
+    assert all(d % 2 for d in gone)
+    assert len(gone) >= 0.95 * len(near)
