@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, column, keyed, sized, written
-from .graph import bucket_links, components, fingerprint_groups, group_links
+from .graph import bucket_links, components, fingerprint_groups, group_links, key_groups
 
 SEED = 42
 
@@ -122,6 +122,37 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select("id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "id long, payload binary")
 
 
+#: Min-hashes of a band of a text's shingles.
+BAND_ROWS = 5
+
+
+def shingle_bands(docs: DataFrame, shingle: int, bands: int) -> DataFrame:
+    """key, id: keys from min-hashes of each text's shingles. Two texts of Jaccard
+    similarity j agree on some key with probability 1 - (1 - j^BAND_ROWS)^bands."""
+    rng = np.random.default_rng(SEED)
+    salts, odd = rng.integers(1 << 63, size=(2, bands * BAND_ROWS), dtype=np.uint64)
+    odd |= np.uint64(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, keys = [], []
+            for i, t in zip(column(batch, "id").to_pylist(), as_bytes(batch)):
+                digests = np.frombuffer(b"".join(set(shingle_digests((t or b"").lower().split(), shingle))), dtype=">u8").astype(np.uint64)
+                if not len(digests):
+                    continue
+                least = np.array([((digests ^ x) * a).min() for x, a in zip(salts, odd)], dtype=np.uint64).reshape(bands, BAND_ROWS)
+                key = np.arange(bands, dtype=np.uint64)
+                for k in range(BAND_ROWS):
+                    key = (key ^ least[:, k]) * np.uint64(0x9E3779B97F4A7C15)
+                    key ^= key >> np.uint64(29)
+                ids.append(i)
+                keys.append(key.view(np.int64))
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(np.array(ids, dtype=np.int64), bands))], names=["key", "id"])
+
+    return docs.select("id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "key long, id long")
+
+
 def jaccard(a: bytes, b: bytes) -> float:
     if not a or not b:
         return float(a == b)
@@ -130,15 +161,17 @@ def jaccard(a: bytes, b: bytes) -> float:
     return same / (len(x) + len(y) - same)
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 4, bands: int = 20) -> DataFrame:
     """rid, doc_id, component_id, keep: documents linked by a Jaccard similarity
     of ``similarity`` or more of their word shingles; the row with the smallest
     (doc_id, rid) of each group has ``keep``. A row for each distinct (doc_id, text).
 
     Candidates are pairs within ``radius`` bits of a SimHash of each text's
     distinct words, in which an edited word weighs one feature and not a whole
-    shingle's; the covering masks find all of these. Candidates are verified on
-    their whole shingle sets.
+    shingle's; the covering masks find all of these. Near copies can lie further
+    apart, so texts that agree on one of ``bands`` min-hash keys of their shingles
+    are candidates too: a pair of Jaccard similarity 0.8 is missed by all keys
+    with a probability of 0.0004. Candidates are verified on their whole shingle sets.
     """
     rows = keyed(docs).withColumn("id", F.xxhash64("text"))
     prints = fingerprints(rows, 1, distinct=True, carry=["rid", "id"])
@@ -149,7 +182,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     found = bucket_links(covering_rows(nodes.select("fp"), radius), radius)
     alone = nodes.filter("same > 1").select(F.xxhash64("fp").alias("g"), "fp")
     groups = written(fingerprint_groups(found).unionByName(alone), "groups")
-    ids = written(groups.join(texts.select("id", "fp", F.col("first.rid").alias("rid")), "fp").select("g", "id", "rid"), "members")
+    firsts = texts.select("id", "fp", F.col("first.rid").alias("rid"))
+    banded = key_groups(shingle_bands(rows, shingle, bands)).join(firsts.select("id", "rid"), "id").select("g", "id", "rid")
+    ids = written(groups.join(firsts, "fp").select("g", "id", "rid").unionByName(banded).distinct(), "members")
     wanted = sized(written(ids.select("rid", "id").distinct(), "wanted"))
     sets = shingle_sets(rows.select("rid", "text").join(wanted, "rid"), shingle).dropDuplicates(["id"])
     roots = components(group_links(ids.select("g", "id"), sets, lambda a, b: jaccard(a, b) >= similarity))

@@ -512,3 +512,24 @@ def test_lines_with_few_edits_are_found_at_the_defaults(spark):
     gone = {r["doc_id"] for r in lines.dedup_lines(docs).filter("n_removed = 1").collect()}
     assert all(d % 2 for d in gone)
     assert len(gone) >= 0.95 * len(near)
+
+
+def test_near_duplicates_without_a_radius(spark):
+    """Texts of a five-word Jaccard similarity of 0.8 and a little more, against all pairs."""
+    rng = np.random.default_rng(11)
+    word = lambda: "".join(rng.choice(list("abcdefghiklmnoprstu"), int(rng.integers(2, 8))))
+    vocabulary, texts = [word() for _ in range(2000)], []
+    for k in range(40):
+        n = int(rng.integers(60, 400))
+        w = list(rng.choice(vocabulary, n))
+        v = list(w)
+        if k % 2:  # further words at the end
+            v += list(rng.choice(vocabulary, int(0.2 * n)))
+        else:  # words replaced here and there
+            for i in rng.choice(n, max(1, n // 50), replace=False):
+                v[i] = word()
+        texts += [" ".join(w), " ".join(v)]
+    rows_ = list(enumerate(texts))
+    got = {r["doc_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows_, "doc_id long, text string")).filter("keep").collect()}
+    assert got == brute.near_duplicates(rows_, radius=64)
+    assert len(brute.near_duplicates(rows_)) > len(got)
