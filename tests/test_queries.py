@@ -46,3 +46,10 @@ def test_query_repeats(spark, sf_dir, name):
 def test_entry(spark, sf_dir):
     assert entry.entry(spark).count() > 0
     assert set(catalog.queries()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", ["history_knn", "history_rank"])
+def test_history_answers_every_text(spark, duck, sf_dir, name):
+    """Against the oracle SQL without its subset of the query texts."""
+    subset = " where md5(a.text) < '4'"
+    assert same(spark, duck, sf_dir, name, catalog.queries()[name], SQL[name].replace(subset, "")) > 0
