@@ -533,3 +533,14 @@ def test_near_duplicates_without_a_radius(spark):
     got = {r["doc_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows_, "doc_id long, text string")).filter("keep").collect()}
     assert got == brute.near_duplicates(rows_, radius=64)
     assert len(brute.near_duplicates(rows_)) > len(got)
+
+
+def test_walks_on_both_sides_of_a_level_share_its_bands():
+    rng = np.random.default_rng(12)
+    text = "".join(rng.choice(list("abcdefghiklmnoprstu "), 3000))
+    steps = [editprint.Walk(editprint.code_points(text[:k])).steps for k in range(len(text))]
+    ends = [k for k in range(100, len(text) - 1) if steps[k].bit_length() < steps[k + 1].bit_length()]
+    assert len(ends) >= 3
+    for k in ends:
+        a, b = (set(editprint.band_keys(editprint.as_text(editprint.Walk(editprint.code_points(text[:n]))), 24, 16)) for n in (k, k + 1))
+        assert len(a & b) >= 24
