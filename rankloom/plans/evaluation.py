@@ -195,7 +195,7 @@ def best_config(spark, d):
 
 def paired_test(spark, d):
     rows, truth = lists(spark, d), tables.relevant(spark, d)
-    out = stats.paired_test(metrics.per_query_recall(_channel(rows, "fused"), truth, 5), metrics.per_query_recall(_channel(rows, "bm25"), truth, 5), n_resamples=2000)
+    out = stats.paired_test(metrics.per_query_recall(_channel(rows, "fused"), truth, 5), metrics.per_query_recall(_channel(rows, "bm25"), truth, 5), n_resamples=20_000)
     return stats.not_inferior(stats.accepted(out))
 
 

@@ -80,7 +80,7 @@ def bm25_script_mask(spark, d):
 
 def dense_global_items(spark, d):
     q, p = vector_entities(spark, d, *entities(spark, d))
-    return vectors.search_global(q, p, per_shard=150)
+    return vectors.search_global(q, p, per_shard=1500)
 
 
 def dense_local_items(spark, d):
@@ -111,7 +111,7 @@ def sparse_prune(spark, d):
 
 def sparse_top(spark, d):
     q, p, qs, ps = _sparse(spark, d)
-    return vectors.sparse_search(qs, ps, q, p.select("passage_id", "item_id", "category", "location", "rating"), depth=400)
+    return vectors.sparse_search(qs, ps, q, p.select("passage_id", "item_id", "category", "location", "rating"), depth=4000)
 
 
 def vector_agreement(spark, d):
@@ -245,7 +245,7 @@ def _history(spark, d):
     c = tables.clicks(spark, d)
     q = c.select("query_norm").distinct().select(F.col("query_norm").alias("query_key"), F.col("query_norm").alias("search_query"))
     texts = c.select(F.col("query_norm").alias("text")).distinct()
-    return c, q, history.neighbours(q, texts, 20)
+    return c, q, history.neighbours(q, texts, 50)
 
 
 def history_knn(spark, d):
@@ -255,7 +255,7 @@ def history_knn(spark, d):
 
 def history_rank(spark, d):
     c, q, near = _history(spark, d)
-    out = history.rank_by_history(near, c, q.withColumn("location", F.lit("Brand#1")), threshold=0.5, top=100)
+    out = history.rank_by_history(near, c, q.withColumn("location", F.lit("Brand#1")), threshold=0.5, top=250)
     return out.select("query_key", "item_id", "rank", F.round("score", 6).alias("score"), F.round("best", 6).alias("best"))
 
 
