@@ -108,6 +108,14 @@ def keyed(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def with_row(rows: DataFrame, found: DataFrame, how: str) -> DataFrame:
+    """``rows`` joined with what was found for them, by rid and doc_id: of two texts
+    with one rid, other than by its own doc_id, none gets what is the other's. Both columns stay once."""
+    there = found.withColumnsRenamed({"rid": "found_rid", "doc_id": "found_doc"})
+    same = (F.col("rid") == F.col("found_rid")) & F.col("doc_id").eqNullSafe(F.col("found_doc"))
+    return rows.join(there, same, how) if how == "left_anti" else rows.join(there, same, how).drop("found_rid", "found_doc")
+
+
 def carried(batch: pa.RecordBatch, carry: Sequence[str]) -> tuple[list[pa.Array], list[str]]:
     names = [f"carried_{c}" for c in carry]
     return [column(batch, c) for c in names], names

@@ -104,7 +104,10 @@ def _linker(radius: int, bucket: int) -> Callable[[Iterator[pa.RecordBatch]], It
 
         for batch in batches:
             rows = np.column_stack([numbers(batch, x).astype(np.int64) for x in ("key", "chunk", "id", "fp")])
-            held, out = work(np.concatenate([held, rows]), False)
+            rows = np.concatenate([held, rows])
+            # a member may come once for each task that met it
+            again = (rows[1:, :3] == rows[:-1, :3]).all(axis=1)
+            held, out = work(rows[np.concatenate([[True], ~again])[: len(rows)]] if again.any() else rows, False)
             for x in out:
                 yield emit(*x)
         _, out = work(held, True)
@@ -117,7 +120,7 @@ def _linker(radius: int, bucket: int) -> Callable[[Iterator[pa.RecordBatch]], It
 def bucket_links(rows: DataFrame, radius: int, bucket: int = BUCKET) -> DataFrame:
     """Links (a, b), a > b as ids, between fingerprints within ``radius`` that share a key.
 
-    rows: ``key`` long, ``id`` long (one for each fingerprint), ``fp`` long.
+    rows: ``key`` long, ``id`` long (of one fingerprint; repeated rows count once), ``fp`` long.
     One shuffle deals rows by key; runs stream by in sorted order. A run of
     more than ``bucket`` members is dealt anew in blocks: members get a chunk
     by hash and each pair of chunks is one task's work, so that no task holds
@@ -179,9 +182,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def _verifier(same: Callable, prepare: Callable) -> Callable:
+def _verifier(same: Callable, prepare: Callable, may: Callable | None = None) -> Callable:
     """Links between the members of each group that are the same.
 
+    may: of prepared members, a function from a member's place to the earlier
+    places whose members may be the same.
+
     Members are compared until they are known to be connected, so a group of
     like members costs about one comparison each.
     """
@@ -199,8 +205,9 @@ def _verifier(same: Callable, prepare: Callable) -> Callable:
                         x = root[x]
                     return x
 
+                earlier = may(payloads) if may is not None else range
                 for i in range(1, len(ids)):
-                    for j in range(i):
+                    for j in earlier(i):
                         p, q = find(i), find(j)
                         if p != q and same(payloads[i], payloads[j]):
                             root[max(p, q)] = min(p, q)
@@ -211,9 +218,9 @@ def _verifier(same: Callable, prepare: Callable) -> Callable:
     return run
 
 
-def group_links(groups: DataFrame, members: DataFrame, same: Callable, prepare: Callable = lambda x: x, block: int = 200) -> DataFrame:
+def group_links(groups: DataFrame, members: DataFrame, same: Callable, prepare: Callable = lambda x: x, block: int = 200, may: Callable | None = None) -> DataFrame:
     """Links (a, b) between ids of one group whose payloads, each
-    prepared once, are the same by ``same``.
+    prepared once, are the same by ``same``; ``may`` as in ``_verifier``.
 
     groups: g, id. members: id, payload. A group of more than ``block`` members
     is dealt out in blocks of pairs of chunks, so that every pair meets in some
@@ -229,34 +236,145 @@ def group_links(groups: DataFrame, members: DataFrame, same: Callable, prepare:
         .agg(F.sort_array(F.collect_list(F.struct("id", "payload"))).alias("m"))
         .select(F.col("m.id").alias("ids"), F.col("m.payload").alias("payloads"))
     )
-    return written(dealt.mapInArrow(_verifier(same, prepare), "a long, b long"), "group-links")
-
-
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by (key, id): the rows whose key has several ids, each once."""
-    held, again = np.empty((0, 2), dtype=np.int64), False
-    for batch in batches:
-        rows = np.concatenate([held, np.column_stack([numbers(batch, x).astype(np.int64) for x in ("key", "id")])])
-        if not len(rows):
-            continue
-        rows = rows[np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)])]
-        same = rows[1:, 0] == rows[:-1, 0]
-        out = rows[:-1][same | np.concatenate([[again], same])[:-1]]
-        held, again = rows[-1:], bool(same[-1]) if len(same) else again
-        yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["key", "id"])
-    if again:
-        yield pa.RecordBatch.from_arrays([pa.array(held[:, 0]), pa.array(held[:, 1])], names=["key", "id"])
-
-
-def key_groups(rows: DataFrame, small: int = 64) -> DataFrame:
-    """g, id: the ids that share a key; sets of up to ``small`` ids once however many keys have them.
-    rows: key, id (long)."""
-    several = rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_shared, "key long, id long")
-    several = written(several, "key-ids")
-    sizes = several.join(several.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key")
-    sets = sizes.filter(F.col("n") <= small).groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("ids").distinct()
-    sets = sets.select(F.xxhash64("ids").alias("g"), F.explode("ids").alias("id"))
-    return written(sets.unionByName(sizes.filter(F.col("n") > small).select(F.col("key").alias("g"), "id")), "key-groups")
+    return written(dealt.mapInArrow(_verifier(same, prepare, may), "a long, b long"), "group-links")
+
+
+PAIRS = "a long, b long, d int, key long, fp long"
+
+
+def _pairer(apart: int, least: float, small: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Over rows sorted by (key, id): the pairs of each run of up to ``small`` rows
+    whose 64 bits and sizes are near enough. Rows of longer runs pass through as
+    (a: id, key, fp), without b. At most one run of up to ``small`` rows is held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.empty((0, 4), dtype=np.int64)
+        long_key = None
+
+        def work(rows: np.ndarray, last: bool) -> tuple[np.ndarray, pa.RecordBatch]:
+            nonlocal long_key
+            change = np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1
+            starts = np.concatenate([[0], change])
+            sizes = np.diff(np.append(starts, len(rows)))
+            long = sizes > small
+            if long_key is not None and len(rows) and rows[0, 0] == long_key:
+                long[0] = True
+            keep = rows[:0]
+            if not last and len(rows) and not long[-1]:
+                keep, rows, sizes, long = rows[starts[-1] :], rows[: starts[-1]], sizes[:-1], long[:-1]
+            elif len(rows):
+                long_key = rows[-1, 0] if long[-1] else None
+            of, over = np.repeat(np.arange(len(sizes)), sizes), np.repeat(long, sizes)
+            prints, lengths = rows[:, 2].view(np.uint64), rows[:, 3]
+            found = [np.empty((3, 0), dtype=np.int64)]
+            for step in range(1, int(sizes[~long].max(initial=0))):
+                i = np.flatnonzero((of[step:] == of[:-step]) & ~over[step:])
+                if not len(i):
+                    break
+                d = np.bitwise_count(prints[i] ^ prints[i + step])
+                x, y = lengths[i], lengths[i + step]
+                near = (d <= apart) & (np.minimum(x, y) >= least * np.maximum(x, y) - 1)
+                i = i[near]
+                found.append(np.vstack([rows[i, 1], rows[i + step, 1], d[near]]))
+            a, b, d = np.concatenate(found, axis=1)
+            n, more = len(a), rows[over]
+            nulls = np.concatenate([np.zeros(n, bool), np.ones(len(more), bool)])
+            none = np.zeros(len(more), np.int64)
+            return keep, pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate([a, more[:, 1]])), pa.array(np.concatenate([b, none]), mask=nulls), pa.array(np.concatenate([d, none]).astype(np.int32), mask=nulls),
+                    pa.array(np.concatenate([np.zeros(n, np.int64), more[:, 0]]), mask=~nulls), pa.array(np.concatenate([np.zeros(n, np.int64), more[:, 2]]), mask=~nulls),
+                ],
+                names=["a", "b", "d", "key", "fp"],
+            )
+
+        for batch in batches:
+            rows = np.concatenate([held, np.column_stack([numbers(batch, x).astype(np.int64) for x in ("key", "id", "fp", "size")])])
+            if not len(rows):
+                continue
+            # a member may come once for each task that met it
+            again = (rows[1:, :2] == rows[:-1, :2]).all(axis=1)
+            held, out = work(rows[np.concatenate([[True], ~again])], False)
+            yield out
+        if len(held):
+            yield work(held, True)[1]
+
+    return run
+
+
+def banded_links(
+    rows: DataFrame, members: Callable[[DataFrame], DataFrame], same: Callable, prepare: Callable, may: Callable, apart: int, least: float, small: int = 64, more: DataFrame | None = None
+) -> DataFrame:
+    """Links (a, b) between ids that share a key, whose 64 bits differ in at most
+    ``apart`` places and whose sizes by a share of at most 1 - ``least``, and that are the same.
+
+    rows: key, id, fp (64 bits), size; repeated rows count once. members: from a
+    table of ids (a column id) their id and payload. more: g, id of further
+    candidate groups. Runs of up to ``small`` members give their near pairs, at
+    most ``small`` for a row; those of one neighbourhood are verified together, so
+    that what is known to be connected isn't compared. Longer runs become the
+    groups of ``bucket_links``, which ``group_links`` verifies in blocks. Every
+    near pair is compared in one of the two ways, or connected already.
+    """
+    dealt = rows.repartition("key").sortWithinPartitions("key", "id").select("key", "id", "fp", "size")
+    found = written(dealt.mapInArrow(_pairer(apart, least, small), PAIRS), "near-pairs")
+    pairs = written(found.filter("b is not null").groupBy("a", "b").agg(F.min("d").alias("d")), "pairs")
+    long = found.filter("b is null").select("key", F.col("a").alias("id"), "fp")
+    groups = None if long.isEmpty() else fingerprint_groups(bucket_links(long, apart)).select("g", F.col("fp").alias("id"))
+    if more is not None:
+        groups = more if groups is None else groups.unionByName(more)
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    if groups is not None:
+        groups = written(groups.distinct(), "groups")
+        ids = ids.unionByName(groups.select("id"))
+    texts = written(members(written(ids.distinct(), "ids")).dropDuplicates(["id"]), "payloads")
+    links = pair_links(pairs, texts, same, prepare)
+    return links if groups is None else links.unionByName(group_links(groups, texts, same, prepare, may=may))
+
+
+def pair_links(pairs: DataFrame, members: DataFrame, same: Callable, prepare: Callable) -> DataFrame:
+    """Links (a, b) among pairs (a, b, d) whose payloads are the same, nearest first.
+
+    Pairs are dealt by the least neighbour of their two ends, with each payload
+    once: the pairs of a small group of copies meet there, and those that are
+    connected already aren't compared.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            links: tuple[list[int], list[int]] = ([], [])
+            for m, p in zip(column(batch, "m").to_pylist(), column(batch, "p").to_pylist()):
+                ready = {x["id"]: x["payload"] for x in m}
+                done: dict[int, object] = {}
+                root = {i: i for i in ready}
+
+                def find(x, root=root):
+                    while root[x] != x:
+                        root[x] = root[root[x]]
+                        x = root[x]
+                    return x
+
+                for x in sorted(p, key=lambda x: (x["d"], x["a"], x["b"])):
+                    u, v = find(x["a"]), find(x["b"])
+                    if u == v:
+                        continue
+                    for i in (x["a"], x["b"]):
+                        if i not in done:
+                            done[i] = prepare(ready[i])
+                    if same(done[x["a"]], done[x["b"]]):
+                        root[max(u, v)] = min(u, v)
+                        links[0].append(x["a"])
+                        links[1].append(x["b"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in links], names=["a", "b"])
+
+    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    low = written(both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low")), "lows")
+    rooted = pairs.join(low, "a").join(low.select(F.col("a").alias("b"), F.col("low").alias("low_b")), "b")
+    rooted = written(rooted.select(F.least("low", "low_b").alias("g"), "a", "b", "d"), "rooted")
+    texts = rooted.select("g", F.explode(F.array("a", "b")).alias("id")).distinct().join(members, "id")
+    texts = texts.groupBy("g").agg(F.collect_list(F.struct("id", "payload")).alias("m"))
+    asked = rooted.groupBy("g").agg(F.collect_list(F.struct("a", "b", "d")).alias("p"))
+    return written(texts.join(asked, "g").select("m", "p").mapInArrow(run, "a long, b long"), "pair-links")
 
 
 def fingerprint_groups(found: DataFrame) -> DataFrame:

@@ -1,16 +1,18 @@
 """Fuzzy line deduplication.
 
 Lines (split at \\n) are normalised (lower case, white space collapsed), and
-equal ones are grouped by a 128-bit hash. Distinct lines of ``fuzzy_words``
-words or more get a 64-bit SimHash of their distinct words (a sign repeated
-between cells weighs no more than a word); the hash is cut into ``blocks`` blocks, and lines that agree on all but ``radius`` blocks
-meet in some bucket by the pigeonhole principle. Inside a bucket, lines within
-``radius`` bits are candidates. One replaced word moves a short line's SimHash
-by more bits than that, so lines that agree on a band of min-hashes of their
-character n-grams (``gram_rows``), in which an edit weighs little, are candidates too. Their texts are fetched and linked if their
-edit similarity, 1 - distance / longer length, is ``similarity`` or more. Of
-each connected group the occurrence with the smallest (doc_id, line number)
-stays; every other occurrence is removed, within and across documents.
+equal ones are grouped by a 128-bit hash. Distinct lines get a 64-bit SimHash of
+their distinct words (a sign repeated between cells weighs no more than a word);
+the hash is cut into ``blocks`` blocks, and lines that agree on all but
+``radius`` blocks meet in some bucket by the pigeonhole principle. Inside a
+bucket, lines within ``radius`` bits are candidates. One replaced word moves a
+short line's SimHash by more bits than that, so lines also meet by bands of
+min-hashes of their character n-grams, in which an edit weighs little, and are
+candidates if 64 bits of these min-hashes differ in ``apart`` places at most.
+Candidates' texts are fetched and linked if their edit similarity, 1 - distance /
+longer length, is ``similarity`` or more. Of each connected group the occurrence
+with the smallest (doc_id, line number) stays; every other occurrence is
+removed, within and across documents.
 
 Texts are read twice and never shuffled unless the list of documents to change
 outgrows a checked size: rows of hashes move instead.
@@ -24,7 +26,7 @@ an empty text.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +34,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, carried, carried_names, carried_schema, column, keyed, sized, written
-from .graph import bucket_links, components, fingerprint_groups, group_links, key_groups
+from .common import as_bytes, carried, carried_names, carried_schema, column, keyed, numbers, sized, with_row, written
+from .graph import banded_links, bucket_links, components, fingerprint_groups
+from .sketch import band_keys, bin_minima, one_bits
 
-LINE_SCHEMA = "rid long, doc_id long, line int, h1 long, h2 long, fp long, fuzzy boolean"
+LINE_SCHEMA = "rid long, doc_id long, line int, h1 long, h2 long, fp long, fuzzy boolean, keys array<long>"
 
 
 def normal(line: str) -> str:
@@ -81,25 +84,40 @@ def edit_distance(a: str, b: str, most: int) -> int:
     return score if score <= most else most + 1
 
 
-def with_histogram(text: str) -> tuple[str, np.ndarray]:
+#: Buckets of a text's bigram counts.
+BIGRAMS = 512
+
+
+def with_bigrams(text: str) -> tuple[str, np.ndarray]:
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    return text, np.bincount(codes & 127, minlength=128)
+    return text, np.bincount((codes[:-1] * np.uint32(31) ^ codes[1:]) & np.uint32(BIGRAMS - 1), minlength=BIGRAMS).astype(np.int32)
 
 
 def similar(a: tuple[str, np.ndarray], b: tuple[str, np.ndarray], similarity: float) -> bool:
-    """Whether 1 - edit distance / longer length is at least ``similarity``.
-
-    Texts come with their character histograms: an edit changes one character
-    into one other at most, which bounds the distance from below.
-    """
+    """Whether 1 - edit distance / longer length is at least ``similarity``."""
     longer = max(len(a[0]), len(b[0]))
     most = int((1 - similarity) * longer + 1e-9)
-    change = a[1] - b[1]
-    if max(change[change > 0].sum(), -change[change < 0].sum()) > most:
+    if np.minimum(a[1], b[1]).sum() < longer - 1 - 2 * most:  # as in ``screen``
         return False
     return edit_distance(a[0], b[0], most) <= most
 
 
+def screen(members: list[tuple[str, np.ndarray]], similarity: float) -> Callable[[int], np.ndarray]:
+    """For a member, the earlier ones that may be similar to it: an edit changes two
+    bigrams at most, so similar texts have that many in common (Ukkonen, 1992). Loses none."""
+    sizes = np.array([len(t) for t, _ in members])
+    counts = np.stack([c for _, c in members])
+
+    def may(i: int) -> np.ndarray:
+        longer = np.maximum(sizes[:i], sizes[i])
+        most = np.floor((1 - similarity) * longer + 1e-9)
+        near = np.flatnonzero(np.abs(sizes[:i] - sizes[i]) <= most)
+        common = np.minimum(counts[near], counts[i]).sum(axis=1)
+        return near[common >= longer[near] - 1 - 2 * most[near]]
+
+    return may
+
+
 #: The eight bits of a byte, first one first, in the eight bytes of an integer.
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
 
@@ -127,29 +145,69 @@ def simhash_runs(digests: np.ndarray, sizes: np.ndarray, chunk: int = 1 << 17) -
     return out
 
 
-def line_rows(docs: DataFrame, fuzzy_words: int = 5) -> DataFrame:
-    """A row for each line with a word. docs: rid, doc_id, text."""
+#: (n, least, most): the n of lines of that many characters. The spans overlap, so that
+#: the lines of any pair whose lengths differ by up to a fifth have one n in common.
+GRAMS = ((3, 1, 39), (6, 32, 1 << 62))
+#: Min-hashes of a band.
+BAND_ROWS = 4
+#: Distinct lines that a task remembers to sketch a line once.
+REMEMBERED = 300_000
+
+
+def gram_hashes(lines: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """uint32 hashes of the n-grams of each line (of n - 2 characters at least)
+    between two spaces, and how many each line has."""
+    codes = np.frombuffer(f" {' '.join(lines)} ".encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    grams = np.zeros(len(codes) - n + 1, dtype=np.uint32)
+    for k in range(n):
+        grams = grams * np.uint32(0x9E3779B1) ^ codes[k : len(grams) + k]
+        grams ^= grams >> np.uint32(15)
+    grams = (grams ^ grams >> np.uint32(16)) * np.uint32(0x85EBCA6B)
+    grams = (grams ^ grams >> np.uint32(13)) * np.uint32(0xC2B2AE35)
+    grams ^= grams >> np.uint32(16)
+    sizes = np.array([len(x) for x in lines])
+    counts = sizes + 3 - n
+    # n-grams that reach over the end of a line go
+    own = np.ones(len(grams), dtype=bool)
+    ends = np.cumsum(sizes + 1)[:-1]
+    for k in range(2, n):
+        at = ends - n + k
+        own[at[(at >= 0) & (at < len(grams))]] = False
+    return grams[own], counts
+
+
+def line_rows(docs: DataFrame, fuzzy_words: int = 1, bands: int = 20, chunk: int = 1 << 17) -> DataFrame:
+    """A row for each line with a word, and ``keys``: the band keys, each with 64 bits
+    of the same min-hashes, where a task has the line's text for the first time. docs: rid, doc_id, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        digest, word_digest = xxhash.xxh3_128_digest, xxhash.xxh64_digest
         for batch in batches:
             rids, ids = column(batch, "rid").to_pylist(), column(batch, "doc_id").to_pylist()
             rid, doc, no, digests, sizes, fuzzy, hashes = [], [], [], [], [], [], []
-            digest, word_digest = xxhash.xxh3_128_digest, xxhash.xxh64_digest
+            new: list[tuple[int, str]] = []
             for r, d, text in zip(rids, ids, as_bytes(batch)):
                 text = text.lower() if text.isascii() else text.decode().lower().encode()
                 for k, line in enumerate(text.split(b"\n")):
                     words = line.split()
                     if not words:
                         continue
-                    digests.append(digest(b" ".join(words)))
-                    rid.append(r)
-                    doc.append(d)
-                    no.append(k)
+                    norm = b" ".join(words)
+                    digests.append(digest(norm))
                     fuzzy.append(len(words) >= fuzzy_words)
                     if fuzzy[-1]:
                         words = set(words)
                         hashes.append(b"".join(map(word_digest, words)))
                         sizes.append(len(words))
+                        if digests[-1] not in seen:
+                            seen.add(digests[-1])
+                            new.append((len(rid), norm.decode()))
+                    rid.append(r)
+                    doc.append(d)
+                    no.append(k)
+            if len(seen) > REMEMBERED:
+                seen.clear()
             if not rid:
                 continue
             pairs = np.frombuffer(b"".join(digests), dtype=">i8").reshape(-1, 2).astype(np.int64)
@@ -160,75 +218,47 @@ def line_rows(docs: DataFrame, fuzzy_words: int = 5) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(rid, pa.int64()), pa.array(doc, pa.int64()), pa.array(no, pa.int32()),
-                    pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(fp), pa.array(flags),
+                    pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(fp), pa.array(flags), keys_of(len(rid), new),
                 ],
-                names=["rid", "doc_id", "line", "h1", "h2", "fp", "fuzzy"],
+                names=["rid", "doc_id", "line", "h1", "h2", "fp", "fuzzy", "keys"],
             )
 
-    return docs.select("rid", "doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, LINE_SCHEMA)
+    def keys_of(n_rows: int, new: list[tuple[int, str]]) -> pa.Array:
+        """Of each row a list of (band keys and, after them, the 64 bits and the length) for each n of the line."""
+        rows, values = [np.empty(0, np.int64)], [np.empty((0, bands + 2), np.int64)]
+        for n, least, most in GRAMS:
+            some = [(at, x) for at, x in new if least <= len(x) <= most]
+            i = 0
+            while i < len(some):
+                j, size = i, 0
+                while j < len(some) and (j == i or size + len(some[j][1]) <= chunk):
+                    size += len(some[j][1])
+                    j += 1
+                minima = bin_minima(*gram_hashes([x for _, x in some[i:j]], n), bands * BAND_ROWS)
+                rows.append(np.array([at for at, _ in some[i:j]]))
+                values.append(np.column_stack([band_keys(minima, BAND_ROWS, n), one_bits(minima), [len(x) for _, x in some[i:j]]]))
+                i = j
+        at, flat = np.concatenate(rows), np.concatenate(values)
+        order = np.argsort(at, kind="stable")
+        ends = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=n_rows))]) * (bands + 2)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat[order].ravel()))
 
-
-#: (n, least, most): the n of lines of that many characters. The spans overlap, so that
-#: the lines of any pair whose lengths differ by up to a fifth have one n in common.
-GRAMS = ((3, 1, 39), (6, 32, 1 << 62))
-#: Min-hashes of a band.
-BAND_ROWS = 4
+    return docs.select("rid", "doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, LINE_SCHEMA)
 
 
-def gram_keys(lines: list[str], n: int, bands: int) -> np.ndarray:
-    """A key for each line (of n - 2 characters at least) and band, from min-hashes of
-    the n-grams of the line between two spaces."""
-    rng = np.random.default_rng((20240229, n))
-    salts = rng.integers(1 << 32, size=(2, bands, BAND_ROWS), dtype=np.uint32)
-    codes = np.frombuffer(f" {' '.join(lines)} ".encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    grams = np.zeros(len(codes) - n + 1, dtype=np.uint32)
-    for k in range(n):
-        grams = grams * np.uint32(0x9E3779B1) ^ codes[k : len(grams) + k]
-        grams ^= grams >> np.uint32(15)
-    grams = (grams ^ grams >> np.uint32(16)) * np.uint32(0x85EBCA6B)
-    grams = np.append(grams ^ grams >> np.uint32(13), np.uint32(0))
-    sizes = np.array([len(x) for x in lines])
-    starts = np.cumsum(sizes + 1) - sizes - 1
-    cuts = np.column_stack([starts, starts + sizes + 3 - n]).ravel()
-    out = np.empty((len(lines), bands), dtype=np.uint64)
-    for b in range(bands):
-        key = np.full(len(lines), (n << 16) + b, dtype=np.uint64)
-        for x, a in zip(salts[0, b], salts[1, b] | np.uint32(1)):
-            least = np.minimum.reduceat((grams ^ x) * a, cuts)[::2]
-            key = (key ^ least) * np.uint64(0x9E3779B97F4A7C15)
-            key ^= key >> np.uint64(29)
-        out[:, b] = key
-    return out.view(np.int64)
-
-
-def gram_rows(docs: DataFrame, fuzzy_words: int, bands: int, chunk: int = 1 << 17) -> DataFrame:
-    """key, id (h1): the band keys of each line of ``fuzzy_words`` words or more. docs: text.
-    Lines that agree on a key are candidates."""
+def band_rows(lines: DataFrame, bands: int = 20) -> DataFrame:
+    """key, id (h1), fp (the 64 bits), size (length) of each band of each line's min-hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: dict[bytes, str] = {}
-            for text in as_bytes(batch):
-                text = text.lower() if text.isascii() else text.decode().lower().encode()
-                for line in text.split(b"\n"):
-                    words = line.split()
-                    if words and len(words) >= fuzzy_words:
-                        norm = b" ".join(words)
-                        seen.setdefault(xxhash.xxh3_128_digest(norm), norm.decode())
-            for n, least, most in GRAMS:
-                some = [(d, x) for d, x in seen.items() if least <= len(x) <= most]
-                i = 0
-                while i < len(some):
-                    j, size = i, 0
-                    while j < len(some) and (j == i or size + len(some[j][1]) <= chunk):
-                        size += len(some[j][1])
-                        j += 1
-                    ids = np.frombuffer(b"".join(d[:8] for d, _ in some[i:j]), dtype=">i8").astype(np.int64)
-                    keys = gram_keys([x for _, x in some[i:j]], n, bands)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(ids, bands))], names=["key", "id"])
-                    i = j
-
-    return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "key long, id long")
+            lists = column(batch, "keys")
+            sets = np.diff(lists.offsets.to_numpy()) // (bands + 2)
+            values = lists.flatten().to_numpy().reshape(-1, bands + 2)
+            ids = np.repeat(np.repeat(numbers(batch, "h1"), sets), bands)
+            prints, sizes = (np.repeat(values[:, bands + k], bands) for k in range(2))
+            yield pa.RecordBatch.from_arrays([pa.array(values[:, :bands].ravel()), pa.array(ids), pa.array(prints), pa.array(sizes)], names=["key", "id", "fp", "size"])
+
+    return lines.filter("size(keys) > 0").select("h1", "keys").mapInArrow(run, "key long, id long, fp long, size long")
 
 
 def block_keys(blocks: int, radius: int, bits: int = 64) -> list[int]:
@@ -241,8 +271,8 @@ def block_keys(blocks: int, radius: int, bits: int = 64) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def fuzzy_links(docs: DataFrame, distinct: DataFrame, radius: int, blocks: int, similarity: float, fuzzy_words: int, bands: int) -> DataFrame:
-    """Links (a, b) between the h1 of similar lines. distinct: h1, fp, fuzzy, first."""
+def fuzzy_links(docs: DataFrame, lines: DataFrame, distinct: DataFrame, radius: int, blocks: int, similarity: float, bands: int, apart: int) -> DataFrame:
+    """Links (a, b) between the h1 of similar lines. lines: h1, keys; distinct: h1, fp, fuzzy, first."""
     fuzzy = distinct.filter("fuzzy")
     # lines of one fingerprint are one node here and all become members below
     nodes = fuzzy.groupBy("fp").agg(F.count(F.lit(1)).alias("same"))
@@ -251,29 +281,45 @@ def fuzzy_links(docs: DataFrame, distinct: DataFrame, radius: int, blocks: int,
     alone = nodes.filter("same > 1").select(F.xxhash64("fp").alias("g"), "fp")
     prints = written(fingerprint_groups(found).unionByName(alone), "line-groups")
     groups = fuzzy.join(sized(prints), "fp").select("g", F.col("h1").alias("id"))
-    groups = written(groups.unionByName(key_groups(gram_rows(docs, fuzzy_words, bands))).distinct(), "line-members")
+    groups = written(groups, "line-members")
     if groups.isEmpty():
-        return groups.select(F.col("g").alias("a"), F.col("id").alias("b"))
-    ids = sized(written(groups.select(F.col("id").alias("h1")).distinct(), "line-ids"))
-    wanted = written(fuzzy.join(ids, "h1", "left_semi").select("h1", "first"), "line-wanted")
-    by_doc = wanted.groupBy("first.rid").agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "h1")).alias("lines"))
-    texts = docs.join(sized(written(by_doc, "line-docs"), 200_000, "lines"), "rid")
-    split = texts.select(F.explode("lines").alias("x"), F.split("text", "\n", -1).alias("all"))
-    norm = split.select(F.col("x.h1").alias("id"), F.trim(F.regexp_replace(F.lower(F.get("all", F.col("x.line"))), "[\\x20\\x09-\\x0D]+", " ")).alias("payload"))
-    return group_links(groups, norm.dropDuplicates(["id"]), lambda a, b: similar(a, b, similarity), with_histogram)
+        groups = None
+
+    def texts_of(ids: DataFrame) -> DataFrame:
+        wanted = written(fuzzy.join(sized(ids.withColumnRenamed("id", "h1")), "h1", "left_semi").select("h1", "first"), "line-wanted")
+        by_doc = wanted.groupBy("first.rid", "first.doc_id").agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "h1")).alias("lines"))
+        texts = with_row(docs, sized(written(by_doc, "line-docs"), 200_000, "lines"), "inner").select(F.col("text").cast("binary").alias("text"), "lines")
+        return texts.mapInArrow(wanted_lines, "id long, payload string")
+
+    return banded_links(
+        band_rows(lines, bands), texts_of, lambda a, b: similar(a, b, similarity), with_bigrams, lambda m: screen(m, similarity), apart, similarity, more=groups
+    )
+
+
+def wanted_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, payload: the normalised lines that are asked for; each text is split once. Over text, lines (line, h1)."""
+    for batch in batches:
+        ids, out = [], []
+        for text, lines in zip(as_bytes(batch), column(batch, "lines").to_pylist()):
+            text = text.lower() if text.isascii() else text.decode().lower().encode()
+            every = text.split(b"\n")
+            for x in lines:
+                ids.append(x["h1"])
+                out.append(b" ".join(every[x["line"]].split()).decode())
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.string())], names=["id", "payload"])
 
 
 def line_groups(
-    docs: DataFrame, similarity: float = 0.8, radius: int = 2, blocks: int = 4, fuzzy_words: int = 1, bands: int = 20
+    docs: DataFrame, similarity: float = 0.8, radius: int = 2, blocks: int = 4, fuzzy_words: int = 1, bands: int = 20, apart: int = 26
 ) -> tuple[DataFrame, DataFrame]:
     """The lines (rid, doc_id, line, h1, h2) and, for each line text that occurs
     again or is linked, the occurrence that stays: h1, h2, keep (struct)."""
-    lines = written(line_rows(docs, fuzzy_words), "lines")
+    lines = written(line_rows(docs, fuzzy_words, bands), "lines")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid", "line")
     distinct = written(
         lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), F.min("fp").alias("fp"), F.max("fuzzy").alias("fuzzy")), "line-texts"
     )
-    roots = components(fuzzy_links(docs, distinct, radius, blocks, similarity, fuzzy_words, bands))
+    roots = components(fuzzy_links(docs, lines, distinct, radius, blocks, similarity, bands, apart))
     roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     linked = written(roots.withColumnRenamed("node", "h1").join(distinct.select("h1", "h2", "first"), "h1"), "line-roots")
     kept = linked.join(linked.groupBy("root").agg(F.min("first").alias("keep")), "root").select("h1", "h2", "keep")
@@ -282,20 +328,21 @@ def line_groups(
 
 
 def dedup_lines(
-    docs: DataFrame, similarity: float = 0.8, radius: int = 2, blocks: int = 4, fuzzy_words: int = 1, carry: Sequence[str] = (), bands: int = 20
+    docs: DataFrame, similarity: float = 0.8, radius: int = 2, blocks: int = 4, fuzzy_words: int = 1, carry: Sequence[str] = (), bands: int = 20, apart: int = 26
 ) -> DataFrame:
     """doc_id, text (without the removed lines), n_lines, n_removed and the
     columns to carry: a row for each row of docs."""
     rows = keyed(docs, carry)
-    lines, keep = line_groups(rows, similarity, radius, blocks, fuzzy_words, bands)
+    lines, keep = line_groups(rows, similarity, radius, blocks, fuzzy_words, bands, apart)
     gone = (
-        lines.join(written(keep, "line-keep"), ["h1", "h2"])
-        .filter(~((F.col("rid") == F.col("keep.rid")) & (F.col("line") == F.col("keep.line"))))
-        .groupBy("rid")
+        lines.drop("keys")
+        .join(written(keep, "line-keep"), ["h1", "h2"])
+        .filter(~((F.col("rid") == F.col("keep.rid")) & F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("line") == F.col("keep.line"))))
+        .groupBy("rid", "doc_id")
         .agg(F.array_distinct(F.collect_list("line")).alias("gone"))
     )
     gone = sized(written(gone, "line-gone"), 200_000, "gone")
-    cols = rows.join(gone, "rid", "left").withColumn("text", F.col("text").cast("binary"))
+    cols = with_row(rows, gone, "left").withColumn("text", F.col("text").cast("binary"))
 
     def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -21,7 +21,7 @@ empty result; further columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +29,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, column, keyed, sized, written
-from .graph import bucket_links, components, fingerprint_groups, group_links, key_groups
+from .common import as_bytes, column, keyed, numbers, sized, with_row, written
+from .graph import banded_links, bucket_links, components, fingerprint_groups
+from .sketch import band_keys, bin_minima, one_bits
 
 SEED = 42
 
@@ -126,31 +127,36 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
 BAND_ROWS = 5
 
 
-def shingle_bands(docs: DataFrame, shingle: int, bands: int) -> DataFrame:
-    """key, id: keys from min-hashes of each text's shingles. Two texts of Jaccard
-    similarity j agree on some key with probability 1 - (1 - j^BAND_ROWS)^bands."""
-    rng = np.random.default_rng(SEED)
-    salts, odd = rng.integers(1 << 63, size=(2, bands * BAND_ROWS), dtype=np.uint64)
-    odd |= np.uint64(1)
+def shingle_bands(docs: DataFrame, shingle: int, bands: int, chunk: int = 1 << 18) -> DataFrame:
+    """key, id, fp, size: keys from min-hashes of each text's shingles, 64 bits of them, and the
+    number of distinct shingles. Two texts of Jaccard similarity j agree on some key with
+    probability 1 - (1 - j^BAND_ROWS)^bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys = [], []
-            for i, t in zip(column(batch, "id").to_pylist(), as_bytes(batch)):
-                digests = np.frombuffer(b"".join(set(shingle_digests((t or b"").lower().split(), shingle))), dtype=">u8").astype(np.uint64)
-                if not len(digests):
-                    continue
-                least = np.array([((digests ^ x) * a).min() for x, a in zip(salts, odd)], dtype=np.uint64).reshape(bands, BAND_ROWS)
-                key = np.arange(bands, dtype=np.uint64)
-                for k in range(BAND_ROWS):
-                    key = (key ^ least[:, k]) * np.uint64(0x9E3779B97F4A7C15)
-                    key ^= key >> np.uint64(29)
-                ids.append(i)
-                keys.append(key.view(np.int64))
+            ids: list[int] = []
+            sets: list[np.ndarray] = []
+
+            def out():
+                sizes = np.array([len(x) for x in sets])
+                minima = bin_minima(np.concatenate(sets), sizes, bands * BAND_ROWS)
+                own = [np.repeat(x, bands) for x in (np.array(ids, dtype=np.int64), one_bits(minima), sizes)]
+                return pa.RecordBatch.from_arrays([pa.array(x) for x in (band_keys(minima, BAND_ROWS, 0).ravel(), *own)], names=["key", "id", "fp", "size"])
+
+            n = 0
+            for i, t in zip(numbers(batch, "id").tolist(), as_bytes(batch)):
+                digests = set(shingle_digests((t or b"").lower().split(), shingle))
+                if digests:
+                    ids.append(i)
+                    sets.append(np.frombuffer(b"".join(digests), dtype=">u4")[::2].astype(np.uint32))
+                    n += len(digests)
+                if n >= chunk:
+                    yield out()
+                    ids, sets, n = [], [], 0
             if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(np.array(ids, dtype=np.int64), bands))], names=["key", "id"])
+                yield out()
 
-    return docs.select("id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "key long, id long")
+    return docs.select("id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "key long, id long, fp long, size long")
 
 
 def jaccard(a: bytes, b: bytes) -> float:
@@ -161,7 +167,7 @@ def jaccard(a: bytes, b: bytes) -> float:
     return same / (len(x) + len(y) - same)
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 4, bands: int = 20) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 4, bands: int = 20, apart: int = 20) -> DataFrame:
     """rid, doc_id, component_id, keep: documents linked by a Jaccard similarity
     of ``similarity`` or more of their word shingles; the row with the smallest
     (doc_id, rid) of each group has ``keep``. A row for each distinct (doc_id, text).
@@ -170,26 +176,44 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     distinct words, in which an edited word weighs one feature and not a whole
     shingle's; the covering masks find all of these. Near copies can lie further
     apart, so texts that agree on one of ``bands`` min-hash keys of their shingles
-    are candidates too: a pair of Jaccard similarity 0.8 is missed by all keys
-    with a probability of 0.0004. Candidates are verified on their whole shingle sets.
+    are candidates too, if 64 bits of the min-hashes differ in ``apart`` places at
+    most: a pair of Jaccard similarity 0.8 is missed by all keys with a
+    probability of 0.0004, and its bits differ in 6.4 places on average, with a
+    deviation of 2.4. Candidates are verified on their whole shingle sets.
     """
     rows = keyed(docs).withColumn("id", F.xxhash64("text"))
     prints = fingerprints(rows, 1, distinct=True, carry=["rid", "id"])
-    prints = written(prints.dropDuplicates(["rid"]), "prints")
+    prints = written(prints.dropDuplicates(["rid", "doc_id"]), "prints")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid")
     texts = written(prints.groupBy("id").agg(F.min(place).alias("first"), F.min("fp").alias("fp")), "texts")
     nodes = texts.groupBy("fp").agg(F.count(F.lit(1)).alias("same"))
     found = bucket_links(covering_rows(nodes.select("fp"), radius), radius)
     alone = nodes.filter("same > 1").select(F.xxhash64("fp").alias("g"), "fp")
-    groups = written(fingerprint_groups(found).unionByName(alone), "groups")
-    firsts = texts.select("id", "fp", F.col("first.rid").alias("rid"))
-    banded = key_groups(shingle_bands(rows, shingle, bands)).join(firsts.select("id", "rid"), "id").select("g", "id", "rid")
-    ids = written(groups.join(firsts, "fp").select("g", "id", "rid").unionByName(banded).distinct(), "members")
-    wanted = sized(written(ids.select("rid", "id").distinct(), "wanted"))
-    sets = shingle_sets(rows.select("rid", "text").join(wanted, "rid"), shingle).dropDuplicates(["id"])
-    roots = components(group_links(ids.select("g", "id"), sets, lambda a, b: jaccard(a, b) >= similarity))
+    groups = written(fingerprint_groups(found).unionByName(alone), "groups").join(texts, "fp").select("g", "id")
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        wanted = texts.join(sized(ids), "id", "left_semi").select("id", "first.rid", "first.doc_id")
+        asked = with_row(rows.select("rid", "doc_id", "text"), sized(written(wanted, "wanted")), "inner")
+        return shingle_sets(asked.select("id", "text"), shingle)
+
+    # equal texts of two ids can't be: an id is a text's hash
+    links = banded_links(
+        shingle_bands(rows.select("id", "text"), shingle, bands), sets_of, lambda a, b: jaccard(a, b) >= similarity, bytes, sizes_near(similarity), apart, similarity, more=groups
+    )
+    roots = components(links)
     roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "id")
     roots = written(roots.join(texts.select("id", "first"), "id"), "roots")
     named = roots.join(roots.groupBy("root").agg(F.min("first").alias("named")), "root").select("id", "named")
     every = texts.join(named, "id", "left").select("id", F.coalesce("named", "first").alias("named"))
-    return prints.join(every, "id").select("rid", "doc_id", F.col("named.doc_id").alias("component_id"), (F.col("rid") == F.col("named.rid")).alias("keep"))
+    keep = (F.col("rid") == F.col("named.rid")) & F.col("doc_id").eqNullSafe(F.col("named.doc_id"))
+    return prints.join(every, "id").select("rid", "doc_id", F.col("named.doc_id").alias("component_id"), keep.alias("keep"))
+
+
+def sizes_near(similarity: float) -> Callable[[list[bytes]], Callable[[int], np.ndarray]]:
+    """Of sets, the earlier ones whose sizes allow that similarity."""
+
+    def may(sets: list[bytes]) -> Callable[[int], np.ndarray]:
+        sizes = np.array([len(x) for x in sets])
+        return lambda i: np.flatnonzero(np.minimum(sizes[:i], sizes[i]) >= similarity * np.maximum(sizes[:i], sizes[i]) - 1e-9)
+
+    return may

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import re
-import unicodedata  # noqa: F401
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import xxhash
 
+from rankloom.llm import lines
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -146,47 +147,62 @@ def grouped(keys, linked):
     return {k: find(k) for k in keys}
 
 
-def line_dedup(rows, radius=2, similarity=0.8, fuzzy_words=5):
-    """rows: (doc_id, text), distinct ids. doc_id -> text: every pair of lines is compared."""
-    norm = {}
-    for d, t in rows:
-        for x in (t or "").split("\n"):
-            low = x.lower().encode()
-            norm[x] = b" ".join(low.split()).decode()
-    fps = {n: majority(set(n.encode().split())) for n in set(norm.values()) if len(n.encode().split()) >= fuzzy_words}
+def normal(line):
+    return b" ".join(line.lower().encode().split()).decode()
+
+
+def similar_lines(texts, similarity=0.8):
+    """Every pair of distinct normalised lines whose edit similarity is that or more, and nothing else asked."""
+    norm = sorted({normal(x) for t in texts for x in (t or "").split("\n")} - {""}, key=len)
+    chars = {c: k for k, c in enumerate(sorted(set("".join(norm))))}
+    counts = np.zeros((len(norm), len(chars)), dtype=np.int32)
+    for i, x in enumerate(norm):
+        for c in x:
+            counts[i, chars[c]] += 1
+    sizes, out = counts.sum(axis=1), []
+    for i, a in enumerate(norm):
+        most = int((1 - similarity) * len(a) + 1e-9)
+        for j in np.flatnonzero(sizes[:i] >= len(a) - most):
+            # an edit changes a character's count by one in each direction at most
+            change = counts[i] - counts[j]
+            if max(change[change > 0].sum(), -change[change < 0].sum()) <= most and lines.edit_distance(a, norm[j], most) <= most:
+                out.append((norm[j], a))
+    return out
 
-    def linked(a, b):
-        if a not in fps or b not in fps or (fps[a] ^ fps[b]).bit_count() > radius:
-            return False
-        longer = max(len(a), len(b))
-        return abs(len(a) - len(b)) <= 0.2 * longer + 1e-9 and edit_distance(a, b) <= (1 - similarity) * longer + 1e-9
 
-    group = grouped(set(norm.values()), linked)
+def line_dedup(rows, linked):
+    """rows: (doc_id, text), distinct ids; linked: pairs of normalised lines. doc_id -> text."""
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in linked:
+        root[find(a)] = find(b)
     seen, out = set(), {}
     for d, t in sorted(rows):
         kept = []
         for x in (t or "").split("\n"):
-            n = norm[x]
-            if not n or group[n] not in seen:
+            n = normal(x)
+            if not n or find(n) not in seen:
                 kept.append(x)
             if n:
-                seen.add(group[n])
+                seen.add(find(n))
         out[d] = "\n".join(kept)
     return out
 
 
-def near_duplicates(rows, radius=4, similarity=0.8, shingle=5):
+def near_duplicates(rows, similarity=0.8, shingle=5):
     """rows: (doc_id, text), distinct ids. The ids that stay: every pair is compared."""
     low = {d: (t or "").encode().lower().split() for d, t in rows}
-    fps = {d: majority(set(w), 42) for d, w in low.items()}
     sets = {d: {tuple(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} if w else set() for d, w in low.items()}
     texts = dict(rows)
 
     def linked(a, b):
         if (texts[a] or "") == (texts[b] or ""):
             return True
-        if (fps[a] ^ fps[b]).bit_count() > radius:
-            return False
         x, y = sets[a], sets[b]
         return x == y if not x or not y else len(x & y) >= similarity * len(x | y)
 

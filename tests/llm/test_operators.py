@@ -106,37 +106,31 @@ def test_edit_distance_matches_the_plain_recursion():
         d = brute.edit_distance(a, b)
         for most in (0, 2, 20):
             assert lines.edit_distance(a, b, most) == (d if d <= most else most + 1)
-        assert lines.similar(lines.with_histogram(a), lines.with_histogram(b), 0.8) == (d <= 0.2 * max(len(a), len(b)) + 1e-9)
+        assert lines.similar(lines.with_bigrams(a), lines.with_bigrams(b), 0.8) == (d <= 0.2 * max(len(a), len(b)) + 1e-9)
 
 
-def plain_line_dedup(rs, links):
-    """rs: (doc_id, text); links: the pairs of normal lines that count as one."""
-    root = {}
-
-    def find(x):
-        while root.setdefault(x, x) != x:
-            x = root[x]
-        return x
+def removed(texts, kept):
+    """(doc_id, normalised line, how often) of all that is in texts and not in kept."""
+    from collections import Counter
 
-    for a, b in links:
-        root[find(a)] = find(b)
-    seen, out = set(), {}
-    for d, t in sorted(rs):
-        kept = []
-        for line in (t or "").split("\n"):
-            n = b" ".join(line.lower().encode().split())
-            if n and find(n) in seen:
-                continue
-            seen.add(find(n))
-            kept.append(line)
-        out[d] = "\n".join(kept)
-    return out
+    out = Counter()
+    for d, t in texts.items():
+        for sign, x in ((1, t or ""), (-1, kept[d])):
+            for line in x.split("\n"):
+                out[d, brute.normal(line)] += sign
+    return {(d, x, k) for (d, x), n in out.items() if x for k in range(n)}
 
 
 def test_lines_against_all_pairs(spark, odd, sf_dir):
+    """At the defaults, against every pair of lines of that edit similarity: nothing else goes, and nearly all of it does."""
     for df in both(spark, odd, sf_dir):
-        got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(df).collect()}
-        assert got == brute.line_dedup(pairs(df))
+        texts = dict(pairs(df))
+        got = removed(texts, {r["doc_id"]: r["text"] for r in lines.dedup_lines(df).collect()})
+        want = removed(texts, brute.line_dedup(texts.items(), brute.similar_lines(texts.values())))
+        assert got <= want
+        for least, most in ((1, 40), (40, 120), (120, 1 << 40)):
+            there = {x for x in want if least <= len(x[1]) < most}
+            assert len(there & got) >= 0.9 * len(there)
 
 
 def test_near_duplicates_against_all_pairs(spark, odd, sf_dir):
@@ -148,7 +142,7 @@ def test_near_duplicates_against_all_pairs(spark, odd, sf_dir):
 def test_exact_lines(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(docs, fuzzy_words=10**9).collect()}
-    assert got == plain_line_dedup(pairs(docs), [])
+    assert got == brute.line_dedup(pairs(docs), [])
 
 
 def test_fuzzy_lines(spark):
@@ -158,7 +152,7 @@ def test_fuzzy_lines(spark):
     near = one.replace(words[30], words[30][:-1] + "x")
     texts = [one, near.upper(), "other line here of five\n" + near + "\nend", "end"]
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
-    out = {r["doc_id"]: r for r in lines.dedup_lines(docs, radius=8, blocks=10).collect()}
+    out = {r["doc_id"]: r for r in lines.dedup_lines(docs).collect()}
     assert [out[k]["text"] for k in range(4)] == [one, "", "other line here of five\nend", ""]
     assert [out[k]["n_removed"] for k in range(4)] == [0, 1, 1, 1]
 
@@ -531,8 +525,7 @@ def test_near_duplicates_without_a_radius(spark):
         texts += [" ".join(w), " ".join(v)]
     rows_ = list(enumerate(texts))
     got = {r["doc_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows_, "doc_id long, text string")).filter("keep").collect()}
-    assert got == brute.near_duplicates(rows_, radius=64)
-    assert len(brute.near_duplicates(rows_)) > len(got)
+    assert got == brute.near_duplicates(rows_)
 
 
 def test_walks_on_both_sides_of_a_level_share_its_bands():
