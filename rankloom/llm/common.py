@@ -26,6 +26,9 @@ BROADCAST_ITEMS = 4_000_000
 #: Bytes of an Arrow batch, so that a task's memory doesn't grow with the length of texts.
 BATCH_BYTES = 8 << 20
 
+#: Whether shuffle files go when the query that made them ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: ASCII white space that ends a word: \x20 and \x09-\x0D. ``bytes.split()``
 #: splits at exactly these.
 SPACES = " \t\n\x0b\x0c\r"
@@ -76,7 +79,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/rankloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # a table that is written once has no further use for its shuffle files
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -226,13 +226,16 @@ def group_links(groups: DataFrame, members: DataFrame, same: Callable, prepare:
     is dealt out in blocks of pairs of chunks, so that every pair meets in some
     task and none holds more than two chunks.
     """
+    parts = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = groups.join(members, "id")
     sizes = rows.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("long").alias("chunks"))
     dealt = (
         rows.join(sizes, "g")
         .withColumn("c", F.pmod(F.xxhash64("id"), F.col("chunks")))
         .withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-        .groupBy("g", (F.least("c", "o") * F.col("chunks") + F.greatest("c", "o")).alias("chunk"))
+        .select("g", (F.least("c", "o") * F.col("chunks") + F.greatest("c", "o")).alias("chunk"), "id", "payload")
+        .repartition(parts, "g", "chunk")  # few bytes here are much work
+        .groupBy("g", "chunk")
         .agg(F.sort_array(F.collect_list(F.struct("id", "payload"))).alias("m"))
         .select(F.col("m.id").alias("ids"), F.col("m.payload").alias("payloads"))
     )
@@ -371,9 +374,10 @@ def pair_links(pairs: DataFrame, members: DataFrame, same: Callable, prepare: Ca
     low = written(both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low")), "lows")
     rooted = pairs.join(low, "a").join(low.select(F.col("a").alias("b"), F.col("low").alias("low_b")), "b")
     rooted = written(rooted.select(F.least("low", "low_b").alias("g"), "a", "b", "d"), "rooted")
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = rooted.select("g", F.explode(F.array("a", "b")).alias("id")).distinct().join(members, "id")
-    texts = texts.groupBy("g").agg(F.collect_list(F.struct("id", "payload")).alias("m"))
-    asked = rooted.groupBy("g").agg(F.collect_list(F.struct("a", "b", "d")).alias("p"))
+    texts = texts.repartition(parts, "g").groupBy("g").agg(F.collect_list(F.struct("id", "payload")).alias("m"))
+    asked = rooted.repartition(parts, "g").groupBy("g").agg(F.collect_list(F.struct("a", "b", "d")).alias("p"))
     return written(texts.join(asked, "g").select("m", "p").mapInArrow(run, "a long, b long"), "pair-links")
 
 

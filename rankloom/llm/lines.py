@@ -26,6 +26,8 @@ an empty text.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -93,13 +95,49 @@ def with_bigrams(text: str) -> tuple[str, np.ndarray]:
     return text, np.bincount((codes[:-1] * np.uint32(31) ^ codes[1:]) & np.uint32(BIGRAMS - 1), minlength=BIGRAMS).astype(np.int32)
 
 
+def anchored_distance(a: str, b: str, most: int) -> int:
+    """An upper bound of the edit distance, or ``most`` + 1: the sum over the gaps
+    between words that both texts have once, in one order."""
+    x, y = a.split(" "), b.split(" ")
+    once = {w for w, n in Counter(x).items() if n == 1}
+    at = {w: j for j, w in enumerate(y) if w in once}
+    again = {w for w, n in Counter(w for w in y if w in at).items() if n > 1}
+    pairs = [(i, at[w]) for i, w in enumerate(x) if w in at and w not in again]
+    # the longest run of pairs that rises in both texts
+    ends: list[int] = []
+    tops: list[int] = []
+    back: list[int] = []
+    for k, (_, j) in enumerate(pairs):
+        n = bisect_left(tops, j)
+        back.append(ends[n - 1] if n else -1)
+        if n == len(ends):
+            ends.append(k)
+            tops.append(j)
+        else:
+            ends[n], tops[n] = k, j
+    chain, k = [(len(x), len(y))], ends[-1] if ends else -1
+    while k >= 0:
+        chain.append(pairs[k])
+        k = back[k]
+    total, i, j = 0, 0, 0
+    for u, v in reversed(chain):
+        if x[i:u] != y[j:v]:
+            total += edit_distance("".join(w + " " for w in x[i:u]), "".join(w + " " for w in y[j:v]), most - total)
+            if total > most:
+                return most + 1
+        i, j = u + 1, v + 1
+    return total
+
+
 def similar(a: tuple[str, np.ndarray], b: tuple[str, np.ndarray], similarity: float) -> bool:
     """Whether 1 - edit distance / longer length is at least ``similarity``."""
     longer = max(len(a[0]), len(b[0]))
     most = int((1 - similarity) * longer + 1e-9)
-    if np.minimum(a[1], b[1]).sum() < longer - 1 - 2 * most:  # as in ``screen``
+    lost = longer - 1 - int(np.minimum(a[1], b[1]).sum())
+    if lost > 2 * most:  # as in ``screen``
         return False
-    return edit_distance(a[0], b[0], most) <= most
+    # most pairs are near copies, which the bound shows at a fraction of the cost; where many bigrams differ it would only add to it
+    return (lost <= most and anchored_distance(a[0], b[0], most) <= most) or edit_distance(a[0], b[0], most) <= most
 
 
 def screen(members: list[tuple[str, np.ndarray]], similarity: float) -> Callable[[int], np.ndarray]:
@@ -176,7 +214,7 @@ def gram_hashes(lines: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
     return grams[own], counts
 
 
-def line_rows(docs: DataFrame, fuzzy_words: int = 1, bands: int = 20, chunk: int = 1 << 17) -> DataFrame:
+def line_rows(docs: DataFrame, fuzzy_words: int = 1, bands: int = 16, chunk: int = 1 << 17) -> DataFrame:
     """A row for each line with a word, and ``keys``: the band keys, each with 64 bits
     of the same min-hashes, where a task has the line's text for the first time. docs: rid, doc_id, text."""
 
@@ -246,7 +284,7 @@ def line_rows(docs: DataFrame, fuzzy_words: int = 1, bands: int = 20, chunk: int
     return docs.select("rid", "doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, LINE_SCHEMA)
 
 
-def band_rows(lines: DataFrame, bands: int = 20) -> DataFrame:
+def band_rows(lines: DataFrame, bands: int = 16) -> DataFrame:
     """key, id (h1), fp (the 64 bits), size (length) of each band of each line's min-hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,7 +348,7 @@ def wanted_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def line_groups(
-    docs: DataFrame, similarity: float = 0.8, radius: int = 2, blocks: int = 4, fuzzy_words: int = 1, bands: int = 20, apart: int = 26
+    docs: DataFrame, similarity: float = 0.8, radius: int = 2, blocks: int = 4, fuzzy_words: int = 1, bands: int = 16, apart: int = 26
 ) -> tuple[DataFrame, DataFrame]:
     """The lines (rid, doc_id, line, h1, h2) and, for each line text that occurs
     again or is linked, the occurrence that stays: h1, h2, keep (struct)."""
@@ -328,7 +366,7 @@ def line_groups(
 
 
 def dedup_lines(
-    docs: DataFrame, similarity: float = 0.8, radius: int = 2, blocks: int = 4, fuzzy_words: int = 1, carry: Sequence[str] = (), bands: int = 20, apart: int = 26
+    docs: DataFrame, similarity: float = 0.8, radius: int = 2, blocks: int = 4, fuzzy_words: int = 1, carry: Sequence[str] = (), bands: int = 16, apart: int = 26
 ) -> DataFrame:
     """doc_id, text (without the removed lines), n_lines, n_removed and the
     columns to carry: a row for each row of docs."""
