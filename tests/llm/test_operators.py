@@ -266,12 +266,31 @@ def test_byte_pair_encoding(spark, odd, awkward, empty, sf_dir):
     assert bpe.round_trip(empty, RANKS, pattern()).count() == 0
     codec = bpe.codec(RANKS, pattern())
     for word in (b"=" * 150 + b"ab", "é→".encode() * 25, b"the" * 40):
-        assert codec.by_heap(word) == codec.contract([word])[0]
+        assert codec.contract_long([word]) == codec.contract([word])
     ids = bpe.encode(odd, RANKS, pattern())
     back = {r["doc_id"]: bytes(r["bytes"]).decode() for r in bpe.decode(ids, RANKS, pattern()).collect()}
     assert back == {d: t or "" for d, t in pairs(odd)}
 
 
+def test_long_words_in_one_task(spark):
+    """Many long words, and words longer than any unit, of several kinds of letters, against the library."""
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=pattern(), mergeable_ranks=ranks, special_tokens={})
+    rng = np.random.default_rng(13)
+    pieces = ["th", "er", "on", "qu", "x", "zj", "k", "o", "ing", "ment", "st", "a"]
+    many = " ".join("".join(rng.choice(pieces, 120))[:199] for _ in range(40_000))
+    kinds = [pieces, list("abcdefghijklmnopqrstuvwxyz"), ["a", "b"], ["="], list("กขคงจฉชซดตถทนบปผพภมยรลวศสหอฮ"), list("春夏秋冬東南西北山川海空")]
+    texts = [many] + ["".join(rng.choice(k, n)) for k in kinds for n in (41, 60, 200, 3000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: r for r in bpe.round_trip(docs, RANKS, pattern()).collect()}
+    for d, t in enumerate(texts):
+        ids = enc.encode_ordinary(t)
+        assert got[d]["ids_sha256"] == hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest()
+        assert got[d]["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest()
+
+
 # --- quality -----------------------------------------------------------------------------
 
 
@@ -378,9 +397,77 @@ def test_language(spark, awkward, empty, sf_dir):
     assert {r["lang_pred"] for r in langid.predict(awkward, nothing).collect()} == {"und"}
 
 
+def plain_languages(learn, ask):
+    """learn: (lang, text); ask: texts. The definition, word by word and character by character."""
+    import math
+    import unicodedata
+    from collections import Counter
+
+    def words(text):
+        out = "".join(c if unicodedata.category(c)[0] == "L" else " " for c in (text or "").lower())
+        return out.split()
+
+    langs = sorted({g for g, t in learn if t and words(t)})
+    seen = {g: Counter() for g in langs}
+    for g, t in learn:
+        if g in seen:
+            seen[g].update(words(t))
+    grams = {g: Counter() for g in langs}
+    for g in langs:
+        for w, n in seen[g].items():
+            x = f"<{w}>"
+            for k in range(1, 5):
+                for i in range(len(x) - k + 1):
+                    grams[g][x[i : i + k]] += n
+    known, kinds = set().union(*seen.values()), set().union(*grams.values())
+
+    def log(table, x, same):
+        total = sum(n for y, n in table.items() if same(y))
+        return math.log((table.get(x, 0) + 0.5) / (total + 0.5 * sum(map(same, known if table in seen.values() else kinds)) + 1))
+
+    cache = {}
+
+    def value(g, w):
+        if (g, w) not in cache:
+            if w in known:
+                cache[g, w] = log(seen[g], w, lambda y: True)
+            else:
+                x, total = f"<{w}>", 0.0
+                for end in range(2, len(x) + 1):
+                    for n in range(min(4, end), 0, -1):
+                        if (gram := x[end - n : end]) in kinds:
+                            total += log(grams[g], gram, lambda y: len(y) == n) + (4 - n) * math.log(0.4)
+                            break
+                    else:
+                        total += -16.0
+                cache[g, w] = total / (len(x) - 1)
+        return cache[g, w]
+
+    out = []
+    for t in ask:
+        ws = words(t)
+        if not ws or not langs:
+            out.append(("und", 0.0))
+            continue
+        means = [sum(value(g, w) for w in ws) / len(ws) for g in langs]
+        best = max(range(len(langs)), key=lambda k: means[k])
+        out.append((langs[best], 1 / sum(math.exp(m - means[best]) for m in means)))
+    return out
+
+
+def test_language_is_that_of_the_plain_version(spark):
+    learn = [("en", "the cat sat on the mat"), ("en", "nothing like the old house"), ("de", "die katze sass auf der matte"), ("de", "das alte haus"), ("fr", "le chat est ½ là ²"), (None, "unlabelled"), ("xx", "12")]
+    ask = ["the old katze", "zzzz thematte", "½ 3", "² ① Ⅷ", "x² Häuser", None, "", "là-bas chat", "日本 the", "ﬁne ŒUVRE 'die'", "the die"]
+    model = langid.train(spark.createDataFrame([(k, t, g) for k, (g, t) in enumerate(learn)], "doc_id long, text string, lang string"))
+    got = {r["doc_id"]: r for r in langid.predict(spark.createDataFrame(list(enumerate(ask)), "doc_id long, text string"), model).collect()}
+    for k, (lang, score) in enumerate(plain_languages([x for x in learn if x[0]], ask)):
+        assert got[k]["lang_pred"] == lang and got[k]["score"] == pytest.approx(score)
+    assert got[2]["lang_pred"] == got[3]["lang_pred"] == "und" != got[4]["lang_pred"]
+
+
 def test_unseen_words_back_off_to_shorter_grams():
     m = langid.LanguageModel({"a": {"known": 5}, "b": {}}, {"a": {"x": 9, "xy": 4}, "b": {"x": 1, "z": 7}}, 2)
-    x, xy = m.grams["x"], m.grams["xy"]
+    x, xy = m.gram_logs[m.grams["x"]], m.gram_logs[m.grams["xy"]]
     want = (x + langid.PENALTY + xy + m.floor) / 3  # "<x" falls to "x", "xy" is known, "y>" is nowhere
     assert m.unseen("xy") == pytest.approx(want)
 
