@@ -33,17 +33,17 @@ def token_set(c: Column | str) -> Column:
 
 
 def joined(*parts: Column | str) -> Column:
-    """Parts with single spaces between, trimmed; nulls are empty."""
-    return F.trim(F.concat_ws(" ", *[_text(p) for p in parts]))
+    """Clean parts with single spaces between, trimmed; nulls are empty."""
+    return F.trim(F.concat_ws(" ", *[clean(p) for p in parts]))
 
 
 def query_text(query: Column | str, filters: Column | str) -> Column:
     """The sparse channel's query, whose literal prefix is a token too."""
-    return F.trim(F.concat(F.lit("query: "), _text(query), F.lit(" "), _text(filters)))
+    return F.trim(F.concat(F.lit("query: "), clean(query), F.lit(" "), clean(filters)))
 
 
 def dense_query_text(query: Column | str, filters: Column | str) -> Column:
-    return F.trim(F.concat(_text(query), F.lit(" "), _text(filters)))
+    return F.trim(F.concat(clean(query), F.lit(" "), clean(filters)))
 
 
 def item_text(title: Column | str, params: Column | str, description: Column | str, title_times: int = 3) -> Column:
@@ -51,13 +51,18 @@ def item_text(title: Column | str, params: Column | str, description: Column | s
 
 
 def passages(title, params, description, size: int = 140, overlap: int = 30, most: int = 4, prefix: str = "passage: ", marker: str = "описание") -> Column:
-    """Array of passage texts: windows of tokens with a step of size - overlap, each after the title."""
+    """Array of passage texts: windows of tokens with a step of size - overlap, each after the clean title."""
     content = F.concat(tokenize(params), F.array(F.lit(marker)), tokenize(description))
     starts = F.slice(F.sequence(F.lit(0), F.size(content) - 1, F.lit(size - overlap)), 1, most)
-    head = F.concat(F.lit(prefix), _text(title), F.lit(". "))
+    head = F.concat(F.lit(prefix), clean(title), F.lit(". "))
     return F.transform(starts, lambda s: F.concat(head, F.array_join(F.slice(content, s + 1, size), " ")))
 
 
+def short_view(title: Column | str, params: Column | str) -> Column:
+    """An item's title and parameters only, clean."""
+    return F.concat(clean(title), F.lit(". "), clean(params))
+
+
 def dominant_script(c: Column | str, share: float = 0.6) -> Column:
     cyrillic, latin = (F.regexp_count(_text(c), F.lit(p)) for p in (CYRILLIC, LATIN))
     total = cyrillic + latin

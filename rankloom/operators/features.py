@@ -18,6 +18,13 @@ FEATURES = [
 ]
 
 
+#: The learned fusion's sets: its channels (the vector channels of the second system and the list of the second
+#: attempt go by the names of this schema), text and match features (A), and these with the item's priors (B).
+FUSION_RANKS = ["bm25", "bm25_plain", "zero_global", "zero_local", "v2_global", "v2_local", "zero", "v2", "fused"]
+FUSION_A = [*FUSION_RANKS, *FEATURES[len(RANKS) : -len(PRIORS)]]
+FUSION_B = [*FUSION_A, *PRIORS]
+
+
 def item_side(items: DataFrame) -> DataFrame:
     """What features need of an item, computed once an item: token sets, normal texts, priors."""
     return items.select(
@@ -61,6 +68,11 @@ def pair_features(pairs: DataFrame, queries: DataFrame, items: DataFrame) -> Dat
     return rows.withColumns(pair_columns())
 
 
+def fusion_frame(lists: DataFrame, queries: DataFrame, items: DataFrame, depth: int = 100) -> DataFrame:
+    """query_key, item_id and FUSION_B: the whole union of the sources' tops, not cut by any fused rank."""
+    return selector_frame(lists, queries, items, depth, MISSING).select("query_key", "item_id", *FUSION_B)
+
+
 def selector_frame(lists: DataFrame, queries: DataFrame, items: DataFrame, depth: int = 100, pool: int = 200) -> DataFrame:
     """query_key, item_id and FEATURES: the union of the sources' tops, cut at the fused rank.
     lists: query_key, channel, item_id, rank with every channel of RANKS."""

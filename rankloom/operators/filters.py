@@ -29,15 +29,23 @@ def query_side(queries: DataFrame) -> DataFrame:
     return queries.select("query_key", *[F.col(c).alias(f"q_{c}") for c in QUERY_COLUMNS[1:]])
 
 
-def eligible_pairs(queries: DataFrame, items: DataFrame, local: bool = False) -> DataFrame:
-    """Every (query_key, item_id) that passes; as many rows as there are, so for
-    counting pools of selective filters or checking, not for retrieval."""
+def pool_counts(queries: DataFrame, items: DataFrame) -> DataFrame:
+    """query_key, n, sum_ids: how many items a query's global filters allow, and the sum of their ids.
+
+    Items are counted by category (0: all) and rating first; queries meet these counts, never items.
+    """
+    per = items.groupBy("category", "rating").agg(F.count(F.lit(1)).alias("n"), F.sum("item_id").alias("ids"))
+    every = per.groupBy("rating").agg(F.sum("n").alias("n"), F.sum("ids").alias("ids")).withColumn("category", F.lit(0).cast(items.schema["category"].dataType))
+    counts = per.filter("category <> 0").unionByName(every)
+    met = queries.select("query_key", "category", "least_rating").join(counts, "category")
+    allowed = met.filter(F.col("least_rating").isNull() | (F.coalesce("rating", F.lit(-1.0)) >= F.col("least_rating")))
+    return allowed.groupBy("query_key").agg(F.sum("n").alias("n"), F.sum("ids").alias("sum_ids"))
+
+
+def eligible_local(queries: DataFrame, items: DataFrame) -> DataFrame:
+    """Every (query_key, item_id) that passes the local filters, joined on the location; for selective filters."""
     q = query_side(queries)
-    if local:
-        return q.join(items, q.q_location == items.location).filter(local_ok()).select("query_key", "item_id")
-    some = q.filter("q_category <> 0").join(items, F.col("q_category") == F.col("category"))
-    every = q.filter("q_category = 0").join(items)  # no filter was asked for: each item is eligible
-    return some.unionByName(every).filter(global_ok()).select("query_key", "item_id")
+    return q.join(items, q.q_location == items.location).filter(local_ok()).select("query_key", "item_id")
 
 
 def fill_candidates(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:

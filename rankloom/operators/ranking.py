@@ -47,6 +47,12 @@ def fuse(lists: DataFrame, weights: dict[str, float], rrf_k: float = 60, top: in
     return fuse_clean(again.select("query_key", "channel", "item_id", F.col("place").alias("rank")), used, rrf_k, top)
 
 
+def blend(order: DataFrame, base: DataFrame, rrf_k: float = 20, top: int | None = 50) -> DataFrame:
+    """A model's order and a submitted ranking fused with equal weights. Both: query_key, item_id, rank."""
+    both = order.select("query_key", F.lit("order").alias("channel"), "item_id", "rank").unionByName(base.select("query_key", F.lit("base").alias("channel"), "item_id", "rank"))
+    return fuse(both, {"order": 1.0, "base": 1.0}, rrf_k, top)
+
+
 def fuse_clean(lists: DataFrame, used: dict[str, float], rrf_k: float, top: int | None) -> DataFrame:
     """The same for lists that hold each item once with ranks from 1."""
     wide = lists.groupBy("query_key", "item_id").agg(*[F.min(F.when(F.col("channel") == c, F.col("rank"))).alias(f"r_{k}") for k, c in enumerate(used)])
@@ -96,7 +102,7 @@ def rank_table(lists: DataFrame, channels: list[str], missing: int = MISSING) ->
     return lists.filter(F.col("channel").isin(channels)).groupBy("query_key", "item_id").agg(*cols)
 
 
-def mean_reciprocal_rank(scored: DataFrame, models: list[str], tie: str = "fused", offset: float = 20.0, top: int = 50) -> DataFrame:
+def mean_reciprocal_rank(scored: DataFrame, models: list[str], tie: str = "fused", offset: float = 20.0, top: int | None = 50) -> DataFrame:
     """Items by the mean over models of 1 / (offset + rank), ties by ``tie``."""
     out, score = scored, F.lit(0.0)
     for k, m in enumerate(models):

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 Z95 = 1.959963984540054
 
 
@@ -37,51 +41,67 @@ def deltas(candidate: DataFrame, baseline: DataFrame) -> DataFrame:
     return c.join(b, "query_key").select("query_key", (F.col("c") - F.col("b")).alias("delta"))
 
 
-def resample(values: np.ndarray, n_resamples: int, seed: int, confidence: float) -> tuple[float, float, float, float, float]:
-    """Mean, interval bounds, one-sided p, and the low end of the one-sided interval.
+DRAWS = "comparison {kind}, n long, total double, weights array<double>, weighted array<double>, flipped array<double>"
 
-    One generator gives, a thousand resamples at a time, bootstrap indices and
-    then signs, so results repeat for a seed.
-    """
-    rng = np.random.default_rng(seed)
-    means, flips = [], []
-    left = n_resamples
-    while left > 0:
-        step = min(1000, left)
-        left -= step
-        means.append(values[rng.integers(0, len(values), size=(step, len(values)))].mean(axis=1))
-        flips.append((rng.choice(np.array([-1.0, 1.0]), size=(step, len(values))) * values).mean(axis=1))
-    boot, null, seen = np.concatenate(means), np.concatenate(flips), float(values.mean())
-    tail = 1 - confidence
-    low, high, one_sided = np.quantile(boot, [tail / 2, 1 - tail / 2, tail])
-    return seen, float(low), float(high), float((1 + np.count_nonzero(null >= seen)) / (n_resamples + 1)), float(one_sided)
 
+def _draw(n_resamples: int, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For each comparison of a task, sums over its rows for every resample: of
+    Poisson weights, of deltas so weighted, and of deltas with random signs."""
 
-def paired_test(candidate: DataFrame, baseline: DataFrame, n_resamples: int = 20_000, seed: int = 42, confidence: float = 0.95) -> DataFrame:
-    """One row: mean_delta, ci_low, ci_high, p_value, one_sided_low, n_queries.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict = {}
+        kind = None
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for of, row, delta in zip(*(c.to_pylist() for c in batch.columns)):
+                if of not in sums:
+                    sums[of] = [0, 0.0, *np.zeros((3, n_resamples))]
+                # a row's draws are its own, wherever it is and in whatever order it comes
+                rng = np.random.Generator(np.random.Philox(key=np.array([row % (1 << 64), seed], dtype=np.uint64)))
+                weights = rng.poisson(1.0, n_resamples)
+                signs = 1.0 - 2.0 * rng.integers(0, 2, n_resamples)
+                own = sums[of]
+                own[0] += 1
+                own[1] += delta
+                own[2] += weights
+                own[3] += delta * weights
+                own[4] += delta * signs
+        names = ["comparison", "n", "total", "weights", "weighted", "flipped"]
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), kind), *(pa.array([x[k] for x in sums.values()]) for k in range(5))], names=names)
 
-    Resampling needs the deltas of one comparison in order, one number a query;
-    comparisons of many systems run as groups of their own.
-    """
-    if not 0 < confidence < 1:
-        raise ValueError("confidence must lie between 0 and 1")
+    return run
+
+
+def paired_test(candidate: DataFrame, baseline: DataFrame, n_resamples: int = 20_000, seed: int = 42, confidence: float = 0.95) -> DataFrame:
+    """One row: mean_delta, ci_low, ci_high, p_value, one_sided_low, n_queries."""
     rows = deltas(candidate, baseline).withColumn("comparison", F.lit(0))
     return paired_tests(rows, n_resamples, seed, confidence).drop("comparison")
 
 
 def paired_tests(rows: DataFrame, n_resamples: int = 20_000, seed: int = 42, confidence: float = 0.95) -> DataFrame:
-    """The same for each comparison. rows: comparison, query_key, delta."""
-    kind = rows.schema["comparison"].dataType.simpleString()
-
-    def test(frame: pd.DataFrame) -> pd.DataFrame:
-        values = frame.sort_values("query_key", key=lambda x: x.astype(str))["delta"].to_numpy()
-        mean, low, high, p, one = resample(values, n_resamples, seed, confidence)
-        return pd.DataFrame([[frame["comparison"].iloc[0], mean, low, high, p, one, len(values)]], columns=["comparison", *_TEST])
-
-    return rows.groupBy("comparison").applyInPandas(test, f"comparison {kind}, mean_delta double, ci_low double, ci_high double, p_value double, one_sided_low double, n_queries long")
-
+    """The same for each comparison. rows: comparison, query_key, delta.
 
-_TEST = ["mean_delta", "ci_low", "ci_high", "p_value", "one_sided_low", "n_queries"]
+    Bootstrap by Poisson weights and sign flips are sums over queries, so each
+    task sums its own rows for all resamples, and what is shuffled has the size
+    of the resamples and not of the queries. A query's draws come from its key
+    and the seed alone. The p-value is one-sided, for a positive mean.
+    """
+    if not 0 < confidence < 1:
+        raise ValueError("confidence must lie between 0 and 1")
+    kind = rows.schema["comparison"].dataType.simpleString()
+    keyed = rows.select("comparison", F.xxhash64("query_key").alias("row"), F.col("delta").cast("double").alias("delta"))
+    parts = keyed.mapInArrow(_draw(n_resamples, seed), DRAWS.format(kind=kind))
+    parts = written(parts, "resamples")
+    seen = parts.groupBy("comparison").agg(F.sum("n").alias("n_queries"), (F.sum("total") / F.sum("n")).alias("mean_delta"))
+    each = parts.select("comparison", F.posexplode(F.arrays_zip("weights", "weighted", "flipped")).alias("k", "x"))
+    each = each.groupBy("comparison", "k").agg(F.sum("x.weights").alias("w"), F.sum("x.weighted").alias("v"), F.sum("x.flipped").alias("f")).join(F.broadcast(seen), "comparison")
+    tail = 1 - confidence
+    cuts = F.percentile(F.when(F.col("w") > 0, F.col("v") / F.col("w")), F.array(*[F.lit(x) for x in (tail / 2, 1 - tail / 2, tail)]))
+    # sums of one set of numbers in another order may differ in their last digits
+    above = F.count_if(F.round(F.col("f") / F.col("n_queries"), 12) >= F.round("mean_delta", 12))
+    out = each.groupBy("comparison", "mean_delta", "n_queries").agg(cuts.alias("cuts"), ((1 + above) / F.lit(n_resamples + 1)).alias("p_value"))
+    return out.select("comparison", "mean_delta", F.get("cuts", 0).alias("ci_low"), F.get("cuts", 1).alias("ci_high"), "p_value", F.get("cuts", 2).alias("one_sided_low"), "n_queries")
 
 
 def accepted(tests: DataFrame, alpha: float = 0.05, comparisons: int = 1) -> DataFrame:

@@ -71,11 +71,12 @@ def _scorer(shared, depth: int | None, keep: list[str], kind):
                 rows = np.flatnonzero(shard == s)
                 for k in range(0, len(keys), 256):
                     part = matrix[k : k + 256]
-                    scores = np.round(vectors[rows] @ part.T, DIGITS)
+                    scores = vectors[rows] @ part.T
                     ok = np.ones(scores.shape, dtype=bool) if at is None else at[rows][:, None] == places[k : k + 256][None]
                     if depth is not None and len(rows) > depth:
-                        ranked_scores = np.where(ok, scores, -np.inf)
-                        ok &= scores >= np.partition(ranked_scores, len(rows) - depth, axis=0)[len(rows) - depth]
+                        compared = np.round(scores, DIGITS)
+                        ranked_scores = np.where(ok, compared, -np.inf)
+                        ok &= compared >= np.partition(ranked_scores, len(rows) - depth, axis=0)[len(rows) - depth]
                     r, c = np.nonzero(ok)
                     which.append(rows[r])
                     who.append(c + k)

@@ -9,7 +9,7 @@ from ..operators import features, filters, joins, metrics, ranking, sampling, st
 from ..sources import tables
 from . import sql as S
 from .retrieval import _F, _L, HEURISTIC, entities, heuristic_ranking, lists, selector_frame
-from .sql import BASE, UNION_POOL, recall_of
+from .sql import BASE, ITEMS, UNION_POOL, recall_of
 
 SOURCES = features.SOURCES
 
@@ -115,7 +115,7 @@ def freq_buckets(spark, d):
 
 def strata(spark, d):
     items, queries = entities(spark, d)
-    pools = filters.eligible_pairs(queries, items, local=True).groupBy("query_key").agg(F.count(F.lit(1)).alias("local_pool_size"))
+    pools = filters.eligible_local(queries, items).groupBy("query_key").agg(F.count(F.lit(1)).alias("local_pool_size"))
     frequency = queries.select("query_key", (F.col("query_key") % 7).alias("query_frequency"))
     return sampling.with_strata(queries, pools, frequency)
 
@@ -178,8 +178,7 @@ def channel_join(spark, d):
 
 def local_pools(spark, d):
     items, queries = entities(spark, d)
-    pairs = filters.eligible_pairs(queries, items)
-    return pairs.groupBy("query_key").agg(F.count(F.lit(1)).alias("n"), F.sum("item_id").alias("sum_ids"))
+    return filters.pool_counts(queries, items)
 
 
 def latency_summary(spark, d):
@@ -193,6 +192,54 @@ def best_config(spark, d):
     return _round(stats.best_config(r, ["event_type"], "fold", "v", 2), "total")
 
 
+def paired_delta(spark, d):
+    """The part of the paired test that isn't random."""
+    rows, truth = lists(spark, d), tables.relevant(spark, d)
+    out = stats.deltas(metrics.per_query_recall(_channel(rows, "fused"), truth, 5), metrics.per_query_recall(_channel(rows, "bm25"), truth, 5))
+    return out.agg(F.round(F.avg("delta"), 9).alias("mean_delta"), F.count(F.lit(1)).alias("n_queries"))
+
+
+def known_part_rows(spark, d):
+    """Rows of one table with keys in another, null-safe, and the other's value looked up."""
+    docs = tables.table(spark, d, "documents", ["doc_id", "source"])
+    marks = tables.table(spark, d, "labels", ["doc_id", "quality"])
+    toxic = tables.table(spark, d, "labels", ["doc_id", "toxic"]).filter("toxic = 1")
+    rows = joins.within(docs.filter("doc_id % 2 = 0"), toxic, ["doc_id"]).withColumn("in_toxic", F.lit(1)).unionByName(joins.without(docs.filter("doc_id % 2 = 0"), toxic, ["doc_id"]).withColumn("in_toxic", F.lit(0)))
+    joins.assert_no_leak(docs.filter("doc_id % 2 = 0"), docs.filter("doc_id % 2 = 1"), ["doc_id"])
+    return joins.lookup(rows, marks, "doc_id", "quality", -1).select("doc_id", "in_toxic", F.col("quality").cast("long").alias("quality"))
+
+
+def hash_sample(spark, d):
+    return sampling.sample(tables.table(spark, d, "documents", ["doc_id", "source"]), "doc_id", 100).select("doc_id", "source")
+
+
+def tail_queries(spark, d):
+    """Queries whose first word occurs in one query at most."""
+    q = tables.queries(spark, d).withColumn("word", F.get(T.tokenize("search_query"), 0))
+    n = q.groupBy("word").agg(F.count(F.lit(1)).alias("query_frequency"))
+    return sampling.tail(q.join(n, "word")).select("query_key", "query_frequency")
+
+
+def category_batches(spark, d):
+    """Batches of 8 training pairs that share a category, in clustered order: per batch its rows and sum of ids."""
+    pairs = tables.items(spark, d).select("item_id", "category")
+    place = ranking.ranked(pairs, sampling.shuffled("item_id"), F.col("item_id"), by=["category"], name="place")
+    batch = place.withColumn("batch", F.floor((F.col("place") - 1) / 8))
+    return batch.groupBy("category", "batch").agg(F.count(F.lit(1)).alias("n"), F.sum("item_id").alias("sum_ids"))
+
+
+def cutoff_variants(spark, d):
+    """How far ranks lie inside the cutoff, by the variants of cutoff and width."""
+    from ..operators.ltr import inside
+
+    ranks = spark.range(1, 101).withColumn("rank", F.col("id").cast("int"))
+    each = F.array(*[F.struct(F.lit(f"k{k}_tau{t}").alias("variant"), inside("rank", k, t).alias("inside")) for k, t in VARIANTS])
+    return ranks.select("rank", F.explode(each).alias("x")).select("x.variant", "rank", F.round("x.inside", 9).alias("inside"))
+
+
+VARIANTS = [(50, 0), (50, 8), (50, 20), (5, 8), (10, 8), (20, 8)]
+
+
 def paired_test(spark, d):
     rows, truth = lists(spark, d), tables.relevant(spark, d)
     out = stats.paired_test(metrics.per_query_recall(_channel(rows, "fused"), truth, 5), metrics.per_query_recall(_channel(rows, "bm25"), truth, 5), n_resamples=20_000)
@@ -254,6 +301,12 @@ SQL = {
         select query_key, item_id, chunk, shared from (select *, row_number() over (partition by query_key, item_id order by shared desc, chunk) as k from s) where k = 1""",
     "channel_join": f"{_L} select query_key, count(*) filter (channel = 'bm25') as n_bm25, count(*) filter (channel = 'zero') as n_zero from lists group by query_key having n_bm25 > 0 and n_zero > 0",
     "local_pools": BASE.rstrip(",\n") + " select query_key, count(*) as n, sum(item_id)::bigint as sum_ids from queries q join items i on (q.category = 0 or q.category = i.category) and (q.least_rating is null or coalesce(i.rating, -1) >= q.least_rating) group by query_key",
+    "paired_delta": f"{_L}, {_CHAN.format(n='fz', c='fused')}, {_CHAN.format(n='bm', c='bm25')}, a as ({recall_of('fz', 5)}), b as ({recall_of('bm', 5)}) select round(avg(a.n_found / a.n_relevant - b.n_found / b.n_relevant), 9) as mean_delta, count(*) as n_queries from a join b using (query_key)",
+    "known_part_rows": "select d.doc_id, (t.doc_id is not null)::int as in_toxic, coalesce(l.quality, -1)::bigint as quality from documents d left join (select distinct doc_id from labels where toxic = 1) t using (doc_id) left join labels l using (doc_id) where d.doc_id % 2 = 0",
+    "hash_sample": "select doc_id, source from documents order by md5(concat_ws('|', doc_id::varchar, '42')), doc_id limit 100",
+    "tail_queries": BASE + f"w as (select query_key, {S.tokens('search_query')}[1] as word from queries), n as (select word, count(*) as query_frequency from w group by word) select query_key, query_frequency from w join n using (word) where query_frequency <= 1",
+    "category_batches": f"with {ITEMS}, p as (select item_id, category, (row_number() over (partition by category order by md5(concat_ws('|', item_id::varchar, '42')), item_id) - 1) // 8 as batch from items) select category, batch, count(*) as n, sum(item_id)::bigint as sum_ids from p group by all",
+    "cutoff_variants": "select 'k' || k || '_tau' || t as variant, rank::int as rank, round(case when t = 0 then (rank <= k)::int::double else 1 / (1 + exp(-(k + 0.5 - rank) / t::double)) end, 9) as inside from (values " + ", ".join(f"({k}, {t})" for k, t in VARIANTS) + ") v(k, t), unnest(range(1, 101)) r(rank)",
     "latency_summary": "select count(*) as n, round(avg(value), 6) as mean, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.95), 6) as p95, round(quantile_cont(value, 0.99), 6) as p99, round(max(value), 6) as max, quantile_cont(value, 0.95) <= 500 as within_guardrail from events",
     "best_config": "with r as (select event_type, user_id % 2 as fold, avg(value) as v from events group by all) select event_type, round(sum(v), 6) as total, count(distinct fold) as folds from r group by event_type having count(distinct fold) = 2 order by round(sum(v), 12) desc, event_type limit 1",
     "final_recall": f"{_F},\n{HEURISTIC}, {_HITS.format(recall_of('final'))} select round(avg(n_found / n_relevant), 6) as recall, count(*) as n_queries from h",
@@ -264,7 +317,7 @@ QUERIES = {
     for f in (
         recall_at_50, hit_rate, per_query_recall, recall_sum, recall_by_depth, oracle_recall_by_depth, oracle_compression, pool_sizes, slice_recall, segment_recall,
         miss_types, topk_overlap, win_tie_loss, wilson_table, holm, freq_buckets, strata_counts, stratified_sample, stratum_quotas, kfold_sizes, fit_tune_sizes,
-        leakage_anti_join, pair_steps, in_batch_collisions, best_passages, channel_join, local_pools, latency_summary, best_config, paired_test, final_recall,
+        leakage_anti_join, pair_steps, in_batch_collisions, best_passages, channel_join, local_pools, latency_summary, best_config, paired_delta, known_part_rows, hash_sample, tail_queries, category_batches, cutoff_variants, paired_test, final_recall,
     )
 }
 

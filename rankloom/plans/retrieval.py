@@ -14,7 +14,8 @@ from .sql import ALL_LISTS, BASE, BM25, CHANNELS, DENSE, UNION_POOL, fused, top
 
 
 def entities(spark, d):
-    items = tables.items(spark, d).withColumn("doc", T.item_text("title", "params", "description"))
+    # the index cleans and cuts the text to tokens itself
+    items = tables.items(spark, d).withColumn("doc", F.concat_ws(" ", "title", "title", "title", "params", "description"))
     queries = tables.queries(spark, d).withColumn("least_rating", T.min_rating("filters"))
     return items, queries
 
@@ -180,13 +181,50 @@ def overlap_features(spark, d):
     return rows.select("query_key", "item_id", *[F.round(F.col(c).cast("double"), 6).alias(c) for c in (*features.OVERLAPS, "filter_overlap", "filter_coverage")])
 
 
-def heuristic_ranking(frame):
+#: Weights of the third attempt's lists: each vector system from its global and local channel, and the three systems.
+ATTEMPT = {"zero": {"zero_global": 1.0, "zero_local": 1.15}, "v2": {"v2_global": 1.0, "v2_local": 1.5}}
+ATTEMPT_WEIGHTS = {"bm25": 1.0, "zero": 0.75, "v2": 1.25}
+
+
+def attempt_lists(spark, d):
+    """Channels, vector systems and the fusion of all systems (as ``fused``) of the third attempt."""
+    parts = lists(spark, d).filter(F.col("channel").isin("bm25", "bm25_plain", "zero_global", "zero_local", "v2_global", "v2_local"))
+    parts = parts.unionByName(written(ranking.fuse_systems(parts, ATTEMPT, 60), "attempt-systems"))
+    return parts.unionByName(ranking.fuse_systems(parts, {"fused": ATTEMPT_WEIGHTS}, 20))
+
+
+def fusion_features(spark, d):
+    items, queries = entities(spark, d)
+    rows = features.fusion_frame(written(attempt_lists(spark, d), "attempt"), queries, items)
+    return rows.select("query_key", "item_id", *[F.round(F.col(c).cast("double"), 6).alias(c) for c in features.FUSION_B])
+
+
+def selector_blend(spark, d):
+    """The ensemble's order blended with the fused list, by equal weights."""
+    rows = lists(spark, d)
+    items, queries = entities(spark, d)
+    order = heuristic_ranking(features.selector_frame(rows, queries, items), top=None)
+    return _ranked(ranking.blend(order, rows.filter("channel = 'fused'")))
+
+
+def query_batch(spark, d):
+    """The second batch of 10 queries."""
+    return tables.queries(spark, d).orderBy("query_key").offset(10).limit(10).select("query_key", "search_query")
+
+
+def unique_lists(spark, d):
+    """The first occurrence of each item in two lists laid one behind the other."""
+    rows = lists(spark, d).filter("channel in ('bm25', 'zero')")
+    return ranking.unique_top(rows.withColumn("rank", F.col("rank") + F.when(F.col("channel") == "zero", 1000).otherwise(0)), 50)
+
+
+def heuristic_ranking(frame, top=50):
     """Three scores of hand-set weights in place of three trained models, and their ensemble."""
     rows = frame.withColumns({
         "m0": F.round(-F.col("fused") + 10 * F.col("title_coverage"), 9), "m1": F.round(-F.col("min_rank") + 5 * F.col("desc_jaccard"), 9),
         "m2": F.round(F.col("source_count") - F.col("fused") / 100.0, 9),
     })
-    return ranking.mean_reciprocal_rank(rows, ["m0", "m1", "m2"])
+    return ranking.mean_reciprocal_rank(rows, ["m0", "m1", "m2"], top=top)
 
 
 def mean_rr_ensemble(spark, d):
@@ -286,7 +324,7 @@ def pu_bag(spark, d):
 
 
 def hard_negatives(spark, d):
-    return ranking.hard_negatives(labelled_frame(spark, d), 21).select("query_key", "item_id", "label", "min_rank", F.col("place").cast("int").alias("place"))
+    return ranking.hard_negatives(labelled_frame(spark, d)).select("query_key", "item_id", "label", "min_rank", F.col("place").cast("int").alias("place"))
 
 
 FRAME = f"""pool as (select u.query_key, u.item_id, {', '.join(f"coalesce(r.{c}, 501) as {c}" for c in features.RANKS)} from union_pool u
@@ -311,10 +349,18 @@ means as (select query_key, item_id, fused, (0.0::double + 1.0::double / (20 + p
 final as (select query_key, item_id, cast(rank as int) as rank, score from (
   select *, row_number() over (partition by query_key order by round(score, 12) desc, fused, item_id) as rank from means) where rank <= 50)"""
 
+#: The third attempt's lists in place of ``lists`` and what is made from them.
+ATTEMPT_SQL = f"""aparts as (select * from lists where channel in ('bm25', 'bm25_plain', 'zero_global', 'zero_local', 'v2_global', 'v2_local')),
+asystems as (select query_key, 'zero' as channel, item_id, rank from ({fused("aparts", ATTEMPT["zero"], 60)}) union all select query_key, 'v2', item_id, rank from ({fused("aparts", ATTEMPT["v2"], 60)})),
+aboth as (select * from aparts union all select * from asystems),
+alists as (select * from aboth union all select query_key, 'fused', item_id, rank from ({fused("aboth", ATTEMPT_WEIGHTS, 20)})),
+{UNION_POOL.replace("from lists", "from alists")},
+{FRAME.replace("from lists", "from alists").replace(" where fused <= 200", "")}"""
+
 LABELLED = "labelled as (select f.*, case when r.item_id is null then 0 else 1 end as label from frame f left join (select distinct query_key, item_id from relevant) r using (query_key, item_id))"
 
 _B = BASE + BM25
-_D = BASE + DENSE.format(per_shard=150)
+_D = BASE + DENSE.format(per_shard=1500)
 _L = BASE + ALL_LISTS
 _F = _L + ",\n" + UNION_POOL + ",\n" + FRAME
 _r = lambda inner: f"select query_key, item_id, cast(rank as int) as rank, round(score, 6) as score from ({inner})"
@@ -329,8 +375,8 @@ grams as (select text, gram, count(*) as tf from (select text, substr(word, unne
 idf as (select gram, ln((1 + (select count(*) from texts)) / (1 + count(*))) + 1 as idf from grams group by gram having count(*) >= 2),
 raw as (select text, gram, (1 + ln(tf)) * idf as w from grams join idf using (gram)),
 vecs as (select text, gram, w / norm as weight from raw join (select text, sqrt(sum(w * w)) as norm from raw group by text) using (text)),
-near0 as (select a.text as query_key, b.text, sum(a.weight * b.weight) as similarity from vecs a join vecs b using (gram) where md5(a.text) < '4' group by all),
-near as (select * from (select *, cast(row_number() over (partition by query_key order by round(similarity, 9) desc, text) as int) as rank from near0) where rank <= 20)"""
+near0 as (select a.text as query_key, b.text, sum(a.weight * b.weight) as similarity from vecs a join vecs b using (gram) group by all),
+near as (select * from (select *, cast(row_number() over (partition by query_key order by round(similarity, 9) desc, text) as int) as rank from near0) where rank <= 50)"""
 
 SQL = {
     "bm25_df": _B + " select term, df from terms",
@@ -356,7 +402,7 @@ SQL = {
         r as (select h.*, i.item_id from h join items i on i.item_id = passage_id % 100 join queries q using (query_key)
           where (q.category = 0 or q.category = i.category) and (q.least_rating is null or coalesce(i.rating, -1) >= q.least_rating)),
         c as (select *, row_number() over (partition by query_key order by round(score, 9) desc, passage_id) as place from r),
-        m as (select query_key, item_id, min(place) as place from c where place <= 400 group by all)
+        m as (select query_key, item_id, min(place) as place from c where place <= 4000 group by all)
         select query_key, item_id, cast(rank as int) as rank from (select *, row_number() over (partition by query_key order by place) as rank from m) where rank <= 250""",
     "vector_agreement": """with p as (select embedding as a, list_transform(embedding, lambda x: round(x::double, 2)) as b from embeddings),
         c as (select list_sum(list_transform(list_zip(a, b), lambda x: x[1]::double * x[2])) as ab, list_sum(list_transform(a, lambda x: x::double * x::double)) as aa, list_sum(list_transform(b, lambda x: x * x)) as bb,
@@ -372,6 +418,12 @@ SQL = {
     "selector_features": _F + " select query_key, item_id, " + ", ".join(f"round({c}::double, 6) as {c}" for c in features.FEATURES) + " from frame",
     "overlap_features": _F + " select query_key, item_id, " + ", ".join(f"round({c}::double, 6) as {c}" for c in (*features.OVERLAPS, "filter_overlap", "filter_coverage")) + " from frame",
     "mean_rr_ensemble": _F + ",\n" + HEURISTIC + " " + _r("select * from final"),
+    "fusion_features": f"{_L},\n{ATTEMPT_SQL} select query_key, item_id, " + ", ".join(f"round({c}::double, 6) as {c}" for c in features.FUSION_B) + " from frame",
+    "selector_blend": _F + ",\n" + HEURISTIC.replace(") where rank <= 50)", "))") + ", two as (select query_key, 'order' as channel, item_id, rank from final union all select query_key, 'base', item_id, rank from fused_list) "
+        + _r(fused("two", {"order": 1.0, "base": 1.0}, 20, 50)),
+    "query_batch": BASE.rstrip(",\n") + " select query_key, search_query from queries order by query_key limit 10 offset 10",
+    "unique_lists": _L + """, both_lists as (select query_key, item_id, min(rank + case channel when 'zero' then 1000 else 0 end) as first from lists where channel in ('bm25', 'zero') group by all)
+        select query_key, item_id, cast(rank as int) as rank from (select *, row_number() over (partition by query_key order by first, item_id) as rank from both_lists) where rank <= 50""",
     "reserve_fill": _L + ", first as (select * from systems where channel = 'bm25'), " + _reserve.format(first="first", n=40),
     "kind_partition": _L + ", moved as (select query_key, channel, item_id, row_number() over (partition by query_key, channel order by case when item_id % 2 = 1 then 0 else 1 end, rank) as rank from systems) " + _r(fused("moved", {"bm25": 1.0, "zero": 1.0, "v2": 1.0}, 20, 50)),
     "kind_hard": _L + ", kept_items as (select query_key, channel, item_id, row_number() over (partition by query_key, channel order by rank) as rank from systems where item_id % 2 = 1), first as (" + fused("kept_items", {"bm25": 1.0, "zero": 1.0, "v2": 1.0}, 20, 50) + "), " + _reserve.format(first="first", n=50),
@@ -386,7 +438,7 @@ SQL = {
         s as (select query_key, item_id, sum(similarity * similarity * ln(1 + n) * case when location = 'Brand#1' then 1.5::double else 1.0::double end) as score, max(similarity) as best
           from near join posted on text = query_norm where similarity >= 0.5 group by all)
         select query_key, item_id, rank, round(score, 6) as score, round(best, 6) as best from (
-          select *, cast(row_number() over (partition by query_key order by round(score, 9) desc, round(best, 9) desc, item_id) as int) as rank from s) where rank <= 100""",
+          select *, cast(row_number() over (partition by query_key order by round(score, 9) desc, round(best, 9) desc, item_id) as int) as rank from s) where rank <= 250""",
     "history_features": _L + f""", clicks as (select {S.clean('p_name')} as query_norm, l_partkey as item_id from lineitem join part on l_partkey = p_partkey),
         ci as (select item_id, count(*) as n from clicks group by all), cp as (select query_norm, item_id, count(*) as m from clicks group by all),
         p as (select query_key, item_id, min(case when channel = 'bm25' then rank end) as bm25, min(case when channel = 'zero' then rank end) as zero from lists where channel in ('bm25', 'zero') group by all)
@@ -402,7 +454,7 @@ SQL = {
         p as (select *, row_number() over (partition by query_key, kind order by h, item_id) as place, count(*) filter (kind = 1) over (partition by query_key) as n_hard from k),
         t as (select *, row_number() over (partition by query_key, label order by case when kind = 0 then 0 when (kind = 1 and place <= 32) or (kind = 2 and place <= 48 - least(n_hard, 32)) then 1 else 2 end, h, item_id) as take from p)
         select query_key, item_id, label, fused, min_rank from t where label = 1 or take <= 48""",
-    "hard_negatives": _F + ",\n" + LABELLED + " select query_key, item_id, label, min_rank, cast(place as int) as place from (select *, row_number() over (partition by query_key order by label desc, min_rank, item_id) as place from labelled) where place <= 21",
+    "hard_negatives": _F + ",\n" + LABELLED + " select query_key, item_id, label, min_rank, cast(place as int) as place from (select *, row_number() over (partition by query_key order by label desc, min_rank, item_id) as place from labelled) where place <= 201",
 }
 
 QUERIES = {
@@ -410,7 +462,7 @@ QUERIES = {
     for f in (
         bm25_df, bm25_weights, bm25_plain_top250, bm25_category_top50, bm25_local_top50, bm25_filled_top50, bm25_global_local_rrf, bm25_script_mask,
         dense_global_items, dense_local_items, dense_first_chunk, dense_rrf, sparse_prune, sparse_top, vector_agreement, rrf_three_way, rrf_weight_grid, union_pool,
-        fused_pool200, rank_pivot, overlap_features, selector_features, mean_rr_ensemble, reserve_fill, kind_partition, kind_hard, answer_csv, answer_contract,
+        fused_pool200, rank_pivot, overlap_features, selector_features, fusion_features, selector_blend, query_batch, unique_lists, mean_rr_ensemble, reserve_fill, kind_partition, kind_hard, answer_csv, answer_contract,
         ranking_integrity, ranking_roundtrip, click_postings, history_knn, history_rank, history_features, lambda_pair_weights, pu_bag, hard_negatives,
     )
 }

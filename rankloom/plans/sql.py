@@ -42,7 +42,7 @@ RELEVANT = """relevant as (
   select b.item_id as query_key, d.doc_id as item_id from benchmark b join documents d on contains(d.text, b.text))"""
 
 #: Postings of the item texts, then scores of every (query, item) that shares a term.
-BM25 = f"""docs as (select item_id, trim(concat_ws(' ', title, title, title, params, coalesce(description, ''))) as doc from items),
+BM25 = f"""docs as (select item_id, concat_ws(' ', title, title, title, params, coalesce(description, '')) as doc from items),
 counts as (select item_id, term, count(*) as tf from (select item_id, unnest({tokens('doc')}) as term from docs) group by all),
 terms as (select term, count(*) as df from counts group by term having count(*) >= 2 order by sum(tf) desc, term limit 350000),
 kept as (select c.*, t.df from counts c join terms t using (term)),

@@ -12,12 +12,12 @@ from .sql import BASE, ITEMS
 
 
 def clean_text(spark, d):
-    rows = tables.spread(tables.table(spark, d, "documents", ["doc_id", "text"]), "doc_id")
+    rows = tables.spread(tables.table(spark, d, "documents", ["doc_id", "text"]))
     return rows.select("doc_id", F.md5(T.clean("text")).alias("clean_md5"), F.length(T.clean("text")).cast("long").alias("n_clean"))
 
 
 def tok_items(spark, d):
-    rows = tables.spread(tables.table(spark, d, "documents", ["doc_id", "text"]), "doc_id")
+    rows = tables.spread(tables.table(spark, d, "documents", ["doc_id", "text"]))
     t = T.tokenize("text")
     return rows.select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.size(F.array_distinct(t)).cast("long").alias("n_distinct"), F.md5(F.array_join(t, " ")).alias("tokens_md5"))
 
@@ -39,15 +39,21 @@ def query_id_sha1(spark, d):
     return q.select("query_key", T.query_id("search_query", "location", "delivery", F.nullif("filters", F.lit("")), "category").alias("query_id"))
 
 
+def raw_titles(spark, d):
+    """Items, a third of them with capitals, ё, Ё and repeated spaces in the title."""
+    raw = F.when(F.col("item_id") % 3 == 0, F.concat(F.lit("Ремонт ТЁплый  тёплый ДОМ: "), F.col("title"))).otherwise(F.col("title"))
+    return tables.items(spark, d).withColumn("title", raw)
+
+
 def passages(spark, d):
-    rows = tables.items(spark, d)
+    rows = raw_titles(spark, d)
     p = rows.select("item_id", F.posexplode(T.passages("title", "params", "description")).alias("chunk", "passage"))
     return p.select("item_id", F.col("chunk").cast("long").alias("chunk"), F.md5("passage").alias("passage_md5"))
 
 
 def short_views(spark, d):
-    rows = tables.items(spark, d)
-    return rows.select("item_id", F.concat("title", F.lit(". "), "params").alias("short_view"), F.md5(T.item_text("title", "params", "description")).alias("text_md5"))
+    rows = raw_titles(spark, d)
+    return rows.select("item_id", T.short_view("title", "params").alias("short_view"), F.md5(T.item_text("title", "params", "description")).alias("text_md5"))
 
 
 def item_text_stats(spark, d):
@@ -64,11 +70,25 @@ def char_ngrams(spark, d):
     return g.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("query_key").alias("n_queries"))
 
 
+def query_views(spark, d):
+    """Both query views of raw texts."""
+    q = tables.queries(spark, d)
+    raw = F.when(F.col("query_key") % 2 == 0, F.concat(F.lit("Найти ТЁплый  "), F.col("search_query"))).otherwise(F.col("search_query"))
+    q = q.withColumn("search_query", raw).withColumn("filters", F.upper("filters"))
+    return q.select("query_key", T.query_text("search_query", "filters").alias("sparse_view"), T.dense_query_text("search_query", "filters").alias("dense_view"))
+
+
 def text_overlap(spark, d):
-    i, q = tables.items(spark, d), tables.queries(spark, d)
-    pairs = q.join(i, q.location == i.location).select("query_key", "item_id", T.token_set("search_query").alias("a"), T.token_set("title").alias("b"))
-    n, share, jaccard = T.overlap(F.col("a"), F.col("b"))
-    return pairs.select("query_key", "item_id", n.cast("long").alias("overlap"), F.round(share, 6).alias("coverage"), F.round(jaccard, 6).alias("jaccard"))
+    """Overlap of queries and items of one location that share a word: joined on the word, so no pair without one is made."""
+
+    def side(df, key, text):
+        rows = df.select(key, "location", T.token_set(text).alias("t"))
+        return rows.select(key, "location", F.size("t").alias(f"n_{key}"), F.explode("t").alias("word"))
+
+    both = side(tables.queries(spark, d), "query_key", "search_query").join(side(tables.items(spark, d), "item_id", "title"), ["location", "word"])
+    n = both.groupBy("query_key", "item_id", "n_query_key", "n_item_id").agg(F.count(F.lit(1)).alias("overlap"))
+    share, jaccard = F.col("overlap") / F.col("n_query_key"), F.col("overlap") / (F.col("n_query_key") + F.col("n_item_id") - F.col("overlap"))
+    return n.select("query_key", "item_id", "overlap", F.round(share, 6).alias("coverage"), F.round(jaccard, 6).alias("jaccard"))
 
 
 def item_priors(spark, d):
@@ -181,6 +201,7 @@ def _script(x):
     return f"case when {c} + {la} < 2 then 'other' when {c} / greatest({c} + {la}, 1) >= 0.6 then 'cyrillic' when {la} / greatest({c} + {la}, 1) >= 0.6 then 'latin' else 'mixed' end"
 
 
+_RAW = "raw as (select * replace (case when item_id % 3 = 0 then concat('Ремонт ТЁплый  тёплый ДОМ: ', title) else title end as title) from items)"
 _CONTENT = f"list_concat(list_concat({S.tokens('params')}, ['описание']), {S.tokens('description')})"
 _KINDS = "[" + ", ".join(f"'{k}'" for k in KINDS) + "]"
 
@@ -192,10 +213,13 @@ SQL = {
     "min_rating": f"""select doc_id, {S.least_rating('t')} as least_rating from (select doc_id, case doc_id % 5 when 0 then 'Рейтинг пользователя 4 звезды и выше' when 1 then 'рейтинг 4,5'
         when 2 then 'рейтинг от 3.5 до 5' when 3 then 'без условий' else '' end as t from documents)""",
     "query_id_sha1": BASE.rstrip(",\n") + " select query_key, substr(sha1(concat_ws(chr(31), search_query, location::varchar, delivery::varchar, coalesce(nullif(filters, ''), 'None'), category::varchar)), 1, 16) as query_id from queries",
-    "passages": f"""with {ITEMS}, c as (select item_id, title, {_CONTENT} as content from items),
+    "passages": f"""with {ITEMS}, {_RAW}, c as (select item_id, {S.clean('title')} as title, {_CONTENT} as content from raw),
         w as (select item_id, title, content, unnest(range(0, least(4, (len(content) - 1) // 110 + 1))) as chunk from c)
         select item_id, chunk, md5(concat('passage: ', title, '. ', array_to_string(list_slice(content, chunk * 110 + 1, chunk * 110 + 140), ' '))) as passage_md5 from w""",
-    "short_views": f"with {ITEMS} select item_id, concat(title, '. ', params) as short_view, md5(trim(concat_ws(' ', title, title, title, params, description))) as text_md5 from items",
+    "short_views": f"""with {ITEMS}, {_RAW}, c as (select item_id, {S.clean('title')} as t, {S.clean('params')} as p, {S.clean('description')} as d from raw)
+        select item_id, concat(t, '. ', p) as short_view, md5(trim(concat_ws(' ', t, t, t, p, d))) as text_md5 from c""",
+    "query_views": BASE + f"""raw as (select query_key, case when query_key % 2 = 0 then concat('Найти ТЁплый  ', search_query) else search_query end as s, upper(filters) as f from queries)
+        select query_key, trim(concat('query: ', {S.clean('s')}, ' ', {S.clean('f')})) as sparse_view, trim(concat({S.clean('s')}, ' ', {S.clean('f')})) as dense_view from raw""",
     "item_text_stats": f"""with {ITEMS}, l as (select 'title' as field, length(title) as n from items union all select 'params', length(params) from items union all select 'description', length(description) from items)
         select field, round(avg(n), 6) as mean_len, max(n) as max_len, """ + ", ".join(f"round(quantile_cont(n, {q / 100}), 6) as p{q}" for q in (25, 50, 75, 90, 95, 99)) + " from l group by field",
     "char_ngrams": BASE + f"""w as (select query_key, concat(' ', unnest(string_split({S.clean('search_query')}, ' ')), ' ') as p from queries),
@@ -204,7 +228,7 @@ SQL = {
         select gram, count(*) as n, count(distinct query_key) as n_queries from x group by gram""",
     "text_overlap": BASE + f"""x as (select query_key, item_id, {S.token_set('search_query')} as a, {S.token_set('title')} as b from queries q join items i on q.location = i.location)
         select query_key, item_id, len(list_intersect(a, b)) as overlap, round(len(list_intersect(a, b)) / greatest(len(a), 1), 6) as coverage,
-          round(len(list_intersect(a, b)) / greatest(len(list_distinct(list_concat(a, b))), 1), 6) as jaccard from x""",
+          round(len(list_intersect(a, b)) / greatest(len(list_distinct(list_concat(a, b))), 1), 6) as jaccard from x where len(list_intersect(a, b)) > 0""",
     "item_priors": f"""with {ITEMS} select item_id, coalesce(rating, -1.0) as rating, round(ln(1 + greatest(coalesce(reviews, 0), 0)), 6) as log_reviews, round(ln(1 + greatest(coalesce(price, 0), 0)), 6) as log_price,
         cast(phone_hidden = 1 as bigint) as phone_hidden, cast(message_forbidden = 1 as bigint) as message_forbidden from items""",
     "service_kind": f"""with k as (select unnest({_KINDS}) as kind), r as (
@@ -232,7 +256,7 @@ SQL = {
 QUERIES = {
     f.__name__: f
     for f in (
-        clean_text, tok_items, dominant_script, min_rating, query_id_sha1, passages, short_views, item_text_stats, char_ngrams, text_overlap, item_priors,
+        clean_text, tok_items, dominant_script, min_rating, query_id_sha1, query_views, passages, short_views, item_text_stats, char_ngrams, text_overlap, item_priors,
         service_kind, table_sizes, null_profile, repeated_texts, text_quantiles, pivot_crosstab, pivot_values, share_table, tv_shift, share_ratio, exposure, vocabulary_miss,
     )
 }

@@ -1,12 +1,17 @@
-"""Tables written once to the folder that driver and executors share, to cut lineage."""
+"""What driver and executors share: tables written once, to cut lineage, and the package itself."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Whether shuffle files go when the query that made them ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` as the cluster names it; only where it is unset a folder of this machine."""
@@ -18,6 +23,27 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    path = f"{shared_folder(df.sparkSession)}/rankloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """A scan of ``df``, written once; the shuffle files that made it have no further use."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/rankloom/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def shipped(spark: SparkSession) -> None:
+    """Send this package to the executors, wherever they run, once a session."""
+    sc = spark.sparkContext
+    if getattr(sc, "_has_rankloom", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    place = Path(tempfile.mkdtemp(prefix="rankloom-package-")) / "rankloom.zip"
+    with zipfile.ZipFile(place, "w") as z:
+        for file in sorted(package.rglob("*.py")):
+            z.write(file, file.relative_to(package.parent))
+    sc.addPyFile(str(place))
+    sc._has_rankloom = True

@@ -4,27 +4,31 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .shared import shipped
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
     """A scan that reads only the named columns."""
-    root = str(Path(__file__).resolve().parents[2])
-    spark.sparkContext.environment.setdefault("PYTHONPATH", os.pathsep.join([root, *filter(None, [os.environ.get("PYTHONPATH")])]))
+    shipped(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """df over all cores where its files give fewer tasks than that; as read where they give enough."""
+#: Bytes of files up to which a scan may be dealt anew over the cores.
+SMALL = 256 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small scan over all cores, where its few files give fewer tasks than that; a larger one as it is read."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SMALL:
+        return df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def table_profile(spark: SparkSession, sf_dir: str, names: list[str]) -> DataFrame:
@@ -47,7 +51,7 @@ def first_tokens(column: str, n: int, chars: int = 1000):
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spread(table(spark, sf_dir, "documents", ["doc_id", "text", "lang", "source", "n_chars"]), "doc_id")
+    docs = spread(table(spark, sf_dir, "documents", ["doc_id", "text", "lang", "source", "n_chars"]))
     category = F.expr("case lang when 'en' then 1 when 'es' then 2 when 'fr' then 3 when 'de' then 4 else 0 end")
     return docs.select(
         F.col("doc_id").alias("item_id"),
@@ -88,7 +92,7 @@ def relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
     automaton of all of them; more take further passes.
     """
     q = table(spark, sf_dir, "benchmark", ["item_id", "text"]).filter(F.length("text") > 0)
-    docs = spread(table(spark, sf_dir, "documents", ["doc_id", "text"]), "doc_id").filter("text is not null")
+    docs = spread(table(spark, sf_dir, "documents", ["doc_id", "text"])).filter("text is not null")
     passes = max(1, -(-q.count() // PASSAGES))
     out = None
     for k in range(passes):

@@ -48,23 +48,6 @@ def test_entry(spark, sf_dir):
     assert set(catalog.queries()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize(
-    "name, cuts",
-    [
-        ("history_knn", {" where md5(a.text) < '4'": "", "rank <= 20)": "rank <= 50)"}),
-        ("history_rank", {" where md5(a.text) < '4'": "", "rank <= 20)": "rank <= 50)", "rank <= 100": "rank <= 250"}),
-        ("dense_global_items", {"<= 150": "<= 1500"}),
-        ("sparse_top", {"<= 400": "<= 4000"}),
-    ],
-)
-def test_whole_query_set_and_reference_parameters(spark, duck, sf_dir, name, cuts):
-    """Against the oracle SQL without its subset of texts and with the reference's depths."""
-    sql = SQL[name]
-    for small, whole in cuts.items():
-        sql = sql.replace(small, whole)
-    assert same(spark, duck, sf_dir, name, catalog.queries()[name], sql) > 0
-
-
 def test_paired_test_takes_20000_resamples(spark, sf_dir, monkeypatch):
     from rankloom.operators import stats
     from rankloom.plans import evaluation
