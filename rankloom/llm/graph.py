@@ -182,22 +182,29 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def _verifier(same: Callable, prepare: Callable, may: Callable | None = None) -> Callable:
+def _verifier(same: Callable, prepare: Callable, may: Callable | None = None, apart: int = 64) -> Callable:
     """Links between the members of each group that are the same.
 
-    may: of prepared members, a function from a member's place to the earlier
-    places whose members may be the same.
-
-    Members are compared until they are known to be connected, so a group of
-    like members costs about one comparison each.
+    Members of one label are connected already. Only those are compared whose 64
+    bits, where both have them, differ in at most ``apart`` places. may: of
+    prepared members, a function that takes a member's place and earlier ones,
+    and gives of these those whose members may be the same. Members are compared until they are known to be connected, so a
+    group of like members costs about one comparison each.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = [], []
-            for ids, payloads in zip(column(batch, "ids").to_pylist(), column(batch, "payloads").to_pylist()):
-                root = list(range(len(ids)))
-                payloads = list(map(prepare, payloads))
+            for members in column(batch, "m").to_pylist():
+                ids, labels = [m["id"] for m in members], [m["label"] for m in members]
+                first: dict[int, int] = {}
+                root = [first.setdefault(x, k) for k, x in enumerate(labels)]
+                if len(first) < 2:
+                    continue
+                payloads = [prepare(m["payload"]) for m in members]
+                own = np.array(root)
+                bits = np.array([m["fp"] or 0 for m in members], dtype=np.int64).view(np.uint64)
+                some = np.array([m["fp"] is None for m in members])
 
                 def find(x, root=root):
                     while root[x] != x:
@@ -205,9 +212,10 @@ def _verifier(same: Callable, prepare: Callable, may: Callable | None = None) ->
                         x = root[x]
                     return x
 
-                earlier = may(payloads) if may is not None else range
+                earlier = may(payloads) if may is not None else lambda _, near: near
                 for i in range(1, len(ids)):
-                    for j in earlier(i):
+                    near = np.flatnonzero((own[:i] != own[i]) & ((np.bitwise_count(bits[:i] ^ bits[i]) <= apart) | some[:i] | some[i]))
+                    for j in earlier(i, near).tolist() if len(near) else ():
                         p, q = find(i), find(j)
                         if p != q and same(payloads[i], payloads[j]):
                             root[max(p, q)] = min(p, q)
@@ -218,28 +226,65 @@ def _verifier(same: Callable, prepare: Callable, may: Callable | None = None) ->
     return run
 
 
-def group_links(groups: DataFrame, members: DataFrame, same: Callable, prepare: Callable = lambda x: x, block: int = 200, may: Callable | None = None) -> DataFrame:
-    """Links (a, b) between ids of one group whose payloads, each
-    prepared once, are the same by ``same``; ``may`` as in ``_verifier``.
+def _labelled(rows: DataFrame, links: DataFrame, of: str = "id") -> DataFrame:
+    """rows with ``label``: the root of a member's component under links, itself where it has none."""
+    roots = components(links).select(F.col("node").alias(of), "root")
+    return rows.join(roots, of, "left").withColumn("label", F.coalesce("root", of)).drop("root")
+
 
-    groups: g, id. members: id, payload. A group of more than ``block`` members
-    is dealt out in blocks of pairs of chunks, so that every pair meets in some
-    task and none holds more than two chunks.
+def group_links(groups: DataFrame, members: DataFrame, same: Callable, prepare: Callable = lambda x: x, block: int = 200, may: Callable | None = None, apart: int = 64) -> DataFrame:
+    """Links (a, b) between ids of one group whose payloads, each
+    prepared once, are the same by ``same``; ``may`` and ``apart`` as in ``_verifier``.
+
+    groups: g, id, fp (64 bits, or null). members: id, payload. A group of more than ``block`` members
+    is first verified in parts of that size, and then the first members of what
+    is connected so far, in parts again, until these are few or don't get fewer:
+    a large group of like members is connected after about one comparison each.
+    Members that then still are in different components meet in blocks of two
+    parts, so that every pair is compared in some task or connected already.
     """
-    parts = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = groups.join(members, "id")
-    sizes = rows.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("long").alias("chunks"))
-    dealt = (
-        rows.join(sizes, "g")
-        .withColumn("c", F.pmod(F.xxhash64("id"), F.col("chunks")))
-        .withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-        .select("g", (F.least("c", "o") * F.col("chunks") + F.greatest("c", "o")).alias("chunk"), "id", "payload")
-        .repartition(parts, "g", "chunk")  # few bytes here are much work
-        .groupBy("g", "chunk")
-        .agg(F.sort_array(F.collect_list(F.struct("id", "payload"))).alias("m"))
-        .select(F.col("m.id").alias("ids"), F.col("m.payload").alias("payloads"))
-    )
-    return written(dealt.mapInArrow(_verifier(same, prepare, may), "a long, b long"), "group-links")
+    spark = groups.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    verify = _verifier(same, prepare, may, apart)
+
+    def linked(dealt: DataFrame) -> DataFrame:
+        """dealt: g, chunk, id, fp, label."""
+        rows = dealt.join(members, "id").select("g", "chunk", F.struct("id", "label", "fp", "payload").alias("m"))
+        met = rows.repartition(parts, "g", "chunk").groupBy("g", "chunk").agg(F.sort_array(F.collect_list("m")).alias("m"))  # few bytes here are much work
+        return written(met.select("m").mapInArrow(verify, "a long, b long"), "group-links")
+
+    sizes = written(groups.groupBy("g").agg(F.count(F.lit(1)).alias("n")), "group-sizes")
+    every = groups.join(sizes, "g")
+    own = F.lit(0).cast("long").alias("chunk"), "id", "fp", F.col("id").alias("label")
+    links = linked(every.filter(F.col("n") <= block).select("g", *own))
+    large = written(every.filter(F.col("n") > block).select("g", "id", "fp", "n"), "large-groups")
+    if large.isEmpty():
+        return links
+    of = lambda n, key, salt=0: F.pmod(F.xxhash64(key, F.lit(salt)), F.ceil(n / F.lit(block)).cast("long"))
+    # parts of members, then of their representatives
+    left, before, bits = large, None, large.select("id", "fp").groupBy("id").agg(F.max("fp").alias("fp"))
+    for salt in range(20):
+        links = written(links.unionByName(linked(left.select("g", of(F.col("n"), "id", salt).alias("chunk"), "id", "fp", F.col("id").alias("label")))), "group-links")
+        roots = _labelled(large.select("g", "id"), links).select("g", F.col("label").alias("id")).distinct()
+        left = written(roots.join(roots.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "g").join(bits, "id", "left"), "group-roots")
+        most = left.agg(F.max("n").alias("most"), F.count(F.lit(1)).alias("rows")).first()
+        if not most["rows"]:
+            return links
+        if most["most"] <= block or before is not None and most["rows"] > 0.7 * before:
+            break
+        before = most["rows"]
+    # what is not connected: parts of one label, or of several that are small; blocks of two parts that differ
+    rows = _labelled(large.join(left.select("g").distinct(), "g", "left_semi").select("g", "id", "fp"), links)
+    held = rows.groupBy("g", "label").agg(F.count(F.lit(1)).alias("k"))
+    rest = held.filter(F.col("k") <= block).groupBy("g").agg(F.sum("k").alias("rest"))
+    pure = F.col("k") > block
+    part = F.when(pure, F.xxhash64("label", of(F.col("k"), "id"))).otherwise(of(F.coalesce("rest", F.lit(1)), "label"))
+    rows = written(rows.join(held, ["g", "label"]).join(rest, "g", "left").select("g", "id", "fp", "label", part.alias("part"), F.when(pure, F.col("label")).alias("only")), "unlinked")
+    kinds = written(rows.select("g", "part", "only").distinct(), "parts")
+    others = kinds.select("g", F.col("part").alias("other"), F.col("only").alias("other_only"))
+    blocks = kinds.join(others, "g").filter((F.col("part") <= F.col("other")) & ~(F.col("only").isNotNull() & F.col("only").eqNullSafe(F.col("other_only"))))
+    blocks = blocks.select("g", F.xxhash64("part", "other").alias("chunk"), F.explode(F.array_distinct(F.array("part", "other"))).alias("part"))
+    return links.unionByName(linked(rows.join(blocks, ["g", "part"]).select("g", "chunk", "id", "fp", "label")))
 
 
 PAIRS = "a long, b long, d int, key long, fp long"
@@ -286,7 +331,7 @@ def _pairer(apart: int, least: float, small: int) -> Callable[[Iterator[pa.Recor
             return keep, pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.concatenate([a, more[:, 1]])), pa.array(np.concatenate([b, none]), mask=nulls), pa.array(np.concatenate([d, none]).astype(np.int32), mask=nulls),
-                    pa.array(np.concatenate([np.zeros(n, np.int64), more[:, 0]]), mask=~nulls), pa.array(np.concatenate([np.zeros(n, np.int64), more[:, 2]]), mask=~nulls),
+                    *(pa.array(np.concatenate([np.zeros(n, np.int64), more[:, k]]), mask=~nulls) for k in (0, 2)),
                 ],
                 names=["a", "b", "d", "key", "fp"],
             )
@@ -315,16 +360,20 @@ def banded_links(
     table of ids (a column id) their id and payload. more: g, id of further
     candidate groups. Runs of up to ``small`` members give their near pairs, at
     most ``small`` for a row; those of one neighbourhood are verified together, so
-    that what is known to be connected isn't compared. Longer runs become the
-    groups of ``bucket_links``, which ``group_links`` verifies in blocks. Every
-    near pair is compared in one of the two ways, or connected already.
+    that what is known to be connected isn't compared. Longer runs are groups for
+    ``group_links``, those of equal members once. Every near pair is compared in
+    one of the two ways, or connected already.
     """
     dealt = rows.repartition("key").sortWithinPartitions("key", "id").select("key", "id", "fp", "size")
     found = written(dealt.mapInArrow(_pairer(apart, least, small), PAIRS), "near-pairs")
     pairs = written(found.filter("b is not null").groupBy("a", "b").agg(F.min("d").alias("d")), "pairs")
-    long = found.filter("b is null").select("key", F.col("a").alias("id"), "fp")
-    groups = None if long.isEmpty() else fingerprint_groups(bucket_links(long, apart)).select("g", F.col("fp").alias("id"))
+    long = found.filter("b is null").select(F.col("key").alias("g"), F.col("a").alias("id"), "fp")
+    groups = None
+    if not long.isEmpty():
+        sets = long.groupBy("g").agg(F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("sum"), F.count(F.lit(1)).alias("n"))
+        groups = long.join(sets.groupBy("sum", "n").agg(F.min("g").alias("g")).select("g"), "g", "left_semi")
     if more is not None:
+        more = more.select("g", "id", F.lit(None).cast("long").alias("fp"))
         groups = more if groups is None else groups.unionByName(more)
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
     if groups is not None:
@@ -332,7 +381,7 @@ def banded_links(
         ids = ids.unionByName(groups.select("id"))
     texts = written(members(written(ids.distinct(), "ids")).dropDuplicates(["id"]), "payloads")
     links = pair_links(pairs, texts, same, prepare)
-    return links if groups is None else links.unionByName(group_links(groups, texts, same, prepare, may=may))
+    return links if groups is None else links.unionByName(group_links(groups, texts, same, prepare, may=may, apart=apart))
 
 
 def pair_links(pairs: DataFrame, members: DataFrame, same: Callable, prepare: Callable) -> DataFrame:

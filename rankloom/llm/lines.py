@@ -140,18 +140,19 @@ def similar(a: tuple[str, np.ndarray], b: tuple[str, np.ndarray], similarity: fl
     return (lost <= most and anchored_distance(a[0], b[0], most) <= most) or edit_distance(a[0], b[0], most) <= most
 
 
-def screen(members: list[tuple[str, np.ndarray]], similarity: float) -> Callable[[int], np.ndarray]:
-    """For a member, the earlier ones that may be similar to it: an edit changes two
+def screen(members: list[tuple[str, np.ndarray]], similarity: float) -> Callable[[int, np.ndarray], np.ndarray]:
+    """For a member, those of some others that may be similar to it: an edit changes two
     bigrams at most, so similar texts have that many in common (Ukkonen, 1992). Loses none."""
     sizes = np.array([len(t) for t, _ in members])
     counts = np.stack([c for _, c in members])
 
-    def may(i: int) -> np.ndarray:
-        longer = np.maximum(sizes[:i], sizes[i])
+    def may(i: int, near: np.ndarray) -> np.ndarray:
+        longer = np.maximum(sizes[near], sizes[i])
         most = np.floor((1 - similarity) * longer + 1e-9)
-        near = np.flatnonzero(np.abs(sizes[:i] - sizes[i]) <= most)
+        fit = np.abs(sizes[near] - sizes[i]) <= most
+        near, longer, most = near[fit], longer[fit], most[fit]
         common = np.minimum(counts[near], counts[i]).sum(axis=1)
-        return near[common >= longer[near] - 1 - 2 * most[near]]
+        return near[common >= longer - 1 - 2 * most]
 
     return may
 

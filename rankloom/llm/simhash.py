@@ -209,11 +209,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     return prints.join(every, "id").select("rid", "doc_id", F.col("named.doc_id").alias("component_id"), keep.alias("keep"))
 
 
-def sizes_near(similarity: float) -> Callable[[list[bytes]], Callable[[int], np.ndarray]]:
-    """Of sets, the earlier ones whose sizes allow that similarity."""
+def sizes_near(similarity: float) -> Callable[[list[bytes]], Callable[[int, np.ndarray], np.ndarray]]:
+    """Of sets, those whose sizes allow that similarity."""
 
-    def may(sets: list[bytes]) -> Callable[[int], np.ndarray]:
+    def may(sets: list[bytes]) -> Callable[[int, np.ndarray], np.ndarray]:
         sizes = np.array([len(x) for x in sets])
-        return lambda i: np.flatnonzero(np.minimum(sizes[:i], sizes[i]) >= similarity * np.maximum(sizes[:i], sizes[i]) - 1e-9)
+        return lambda i, near: near[np.minimum(sizes[near], sizes[i]) >= similarity * np.maximum(sizes[near], sizes[i]) - 1e-9]
 
     return may
