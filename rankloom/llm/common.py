@@ -7,17 +7,19 @@ never clash with the operator's own.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-from collections.abc import Sequence
-from pathlib import Path
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import CLEANUP, shipped
+from ..sources.tables import spread
+
 #: A side with no more rows than this may be broadcast (a few narrow columns
 #: each); a larger one is joined by shuffling.
 BROADCAST_ROWS = 500_000
@@ -26,9 +28,6 @@ BROADCAST_ITEMS = 4_000_000
 #: Bytes of an Arrow batch, so that a task's memory doesn't grow with the length of texts.
 BATCH_BYTES = 8 << 20
 
-#: Whether shuffle files go when the query that made them ends.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
 #: ASCII white space that ends a word: \x20 and \x09-\x0D. ``bytes.split()``
 #: splits at exactly these.
 SPACES = " \t\n\x0b\x0c\r"
@@ -43,13 +42,8 @@ def small_batches(spark: SparkSession) -> None:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    # workers on this machine import the package from where the driver has it
-    root = str(Path(__file__).resolve().parents[2])
-    spark.sparkContext.environment.setdefault("PYTHONPATH", os.pathsep.join([root, *filter(None, [os.environ.get("PYTHONPATH")])]))
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    # few files give fewer tasks than cores
-    cores = spark.sparkContext.defaultParallelism
-    return docs.repartition(cores, "doc_id") if docs.rdd.getNumPartitions() < cores else docs
+    shipped(spark)
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +65,22 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Tables that ``written`` has made, in order.
+CREATED: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes, at the end of the block, the tables that were written in it, but
+    those put in the list. For blocks whose result is a written table itself."""
+    first, keep = len(CREATED), []
+    yield keep
+    for path in CREATED[first:]:
+        if path not in keep:
+            deleted(spark, path)
+    CREATED[first:] = keep
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return a scan of that table.
 
@@ -86,9 +96,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
+    CREATED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def deleted(spark: SparkSession, path: str) -> None:
+    """Delete a table of this library that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def sized(df: DataFrame, most: int = BROADCAST_ROWS, array: str | None = None) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``most`` rows and, in the
     column ``array``, at most ``BROADCAST_ITEMS`` items in all.

@@ -8,9 +8,11 @@ trusted texts do. A document's perplexity joins its n-grams to these: the
 ``hot`` most frequent n-grams (a bounded table, found from the histogram of
 counts) are broadcast, all others are joined by shuffling the documents'
 remaining n-gram frequencies. A document is kept if its perplexity is at most
-the ``quantile`` of its language's trusted documents, times ``slack``; a text
-of n n-grams is given ``allowance`` / sqrt(n) more in log perplexity, for the
-error of a short text's mean.
+the ``quantile`` of its language's trusted documents, each of which is scored by
+the model of the other ``folds``, so that no threshold is taken from texts that
+its model has seen. The error of a mean over n n-grams falls with sqrt(n): log
+perplexities are compared after ``allowance`` / sqrt(n) is taken off, in the
+quantile as in the verdict.
 
 Log probabilities are integers of 1/UNIT, so sums don't depend on the order of
 rows. Nothing is sampled or capped.
@@ -25,7 +27,6 @@ columns are ignored.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, column, keyed, top_by_count, written
+from .common import as_bytes, column, keyed, sized, top_by_count, written
 from .rules import byte_grams, marked, per_text, text_chunks
 
 ORDER = 4
@@ -209,13 +210,28 @@ def thresholds(scored: DataFrame, quantile: float, least: int) -> tuple[DataFram
     return each, row["most"] if row else None
 
 
+def held_out(docs: DataFrame, trusted: DataFrame, folds: int, hot: int) -> DataFrame:
+    """Like ``perplexities``, for the trusted documents only: each under the model of the other folds' trusted documents."""
+    fold = F.pmod(F.col("doc_id").cast("long"), F.lit(folds))
+    good = trusted.select("doc_id").filter("doc_id is not null").distinct()
+    own = written(docs.select("doc_id", "text", "lang").join(sized(written(good, "good")), "doc_id", "left_semi"), "trusted-texts")
+    out = None
+    for k in range(folds):
+        part = perplexities(own, good.filter(fold != k), hot).filter(fold == k).withColumn("trusted", F.lit(True))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def classify(
-    docs: DataFrame, trusted: DataFrame, quantile: float = 0.99, slack: float = 1.1, least: int = 20, hot: int = 1 << 19, allowance: float = 1.0
+    docs: DataFrame, trusted: DataFrame, quantile: float = 0.99, least: int = 20, hot: int = 1 << 19, allowance: float = 1.0, folds: int = 2
 ) -> DataFrame:
     """rid, doc_id, lang, perplexity, threshold, kept: a row for each row of docs."""
-    scored = perplexities(docs, trusted, hot).withColumn("cost", F.when(F.col("n_grams") > 0, -F.col("log_sum") / F.col("n_grams") / UNIT))
-    each, every = thresholds(scored, quantile, least)
-    most = F.coalesce(F.col("most"), F.lit(every).cast("double")) + F.lit(math.log(slack)) + F.lit(allowance) / F.sqrt(F.greatest("n_grams", F.lit(1)))
-    out = scored.join(F.broadcast(each), "lang", "left").withColumn("limit", most)  # a row for each language
+    cost = F.when(F.col("n_grams") > 0, -F.col("log_sum") / F.col("n_grams") / UNIT)
+    short = F.lit(allowance) / F.sqrt(F.greatest("n_grams", F.lit(1)))
+    scored = perplexities(docs, trusted, hot).withColumn("cost", cost)
+    # what a short text is allowed is taken off before the quantile, and given again after it
+    each, every = thresholds(held_out(docs, trusted, folds, hot).withColumn("cost", cost - short), quantile, least)
+    most = F.coalesce(F.col("most"), F.lit(every).cast("double")) + short
+    out = scored.join(sized(written(each, "limits")), "lang", "left").withColumn("limit", most)
     kept = F.col("cost").isNotNull() & (F.col("limit").isNull() | (F.col("cost") <= F.col("limit")))
     return out.select("rid", "doc_id", "lang", F.exp("cost").alias("perplexity"), F.exp("limit").alias("threshold"), kept.alias("kept"))

@@ -44,33 +44,39 @@ kept as (select doc_id, string_agg(word, ' ' order by p) as text, count(*) as n
 select doc_id, len(ws) as n_words, len(ws) - coalesce(n, 0) as n_removed, sha256(coalesce(kept.text, '')) as kept_sha256 from w left join kept using (doc_id)"""
 
 
-def _order(k: int) -> str:
-    """Counts, discounts, context totals and probabilities of one order; c{k} holds gram and c."""
+def _order(k: int, of: str = "") -> str:
+    """Counts, discounts, context totals and probabilities of one order; c{k}{of} holds gram and c."""
     lower = "1 / 256.0::double" if k == 1 else "l.p"
     wanted = "select unnest(range(0, 256)) as gram" if k == 1 else f"select distinct gram & {(1 << 8 * k) - 1} as gram from corpus"
-    join = "" if k == 1 else f" join p{k - 1} l on l.gram = x.gram & {(1 << 8 * (k - 1)) - 1}"
+    join = "" if k == 1 else f" join p{k - 1}{of} l on l.gram = x.gram & {(1 << 8 * (k - 1)) - 1}"
     clip = lambda e, n: f"least(greatest({e}, 0.05), {n}.95)"
-    y = "(n1 / (n1 + 2 * n2)::double)"
-    return f"""n{k} as (select count(*) filter (c = 1) as n1, count(*) filter (c = 2) as n2, count(*) filter (c = 3) as n3, count(*) filter (c = 4) as n4 from c{k}),
-d{k} as (select case when n1 > 0 and n2 > 0 then {clip(f'1 - 2 * {y} * n2 / n1', 0)} else 0.5 end as d1, case when n1 > 0 and n2 > 0 then {clip(f'2 - 3 * {y} * n3 / n2', 1)} else 0.5 end as d2,
-  case when n1 > 0 and n2 > 0 then {clip(f'case when n3 > 0 then 3 - 4 * {y} * n4 / n3 else 1.5 end', 2)} else 0.5 end as d3 from n{k}),
-o{k} as (select gram, c, (case c when 1 then d1 when 2 then d2 else d3 end)::double as off from c{k}, d{k}),
-t{k} as (select gram >> 8 as context, sum(c)::double as total, sum(least(off, c)) as rest from o{k} group by gram >> 8),
-p{k} as (select x.gram, case when t.total is null then {lower} else (greatest(coalesce(o.c - o.off, 0), 0) + t.rest * {lower}) / t.total end as p
-  from ({wanted}) x left join t{k} t on t.context = x.gram >> 8 left join o{k} o on o.gram = x.gram{join})"""
+    y, i = "(n1 / (n1 + 2 * n2)::double)", f"{k}{of}"
+    return f"""n{i} as (select count(*) filter (c = 1) as n1, count(*) filter (c = 2) as n2, count(*) filter (c = 3) as n3, count(*) filter (c = 4) as n4 from c{i}),
+d{i} as (select case when n1 > 0 and n2 > 0 then {clip(f'1 - 2 * {y} * n2 / n1', 0)} else 0.5 end as d1, case when n1 > 0 and n2 > 0 then {clip(f'2 - 3 * {y} * n3 / n2', 1)} else 0.5 end as d2,
+  case when n1 > 0 and n2 > 0 then {clip(f'case when n3 > 0 then 3 - 4 * {y} * n4 / n3 else 1.5 end', 2)} else 0.5 end as d3 from n{i}),
+o{i} as (select gram, c, (case c when 1 then d1 when 2 then d2 else d3 end)::double as off from c{i}, d{i}),
+t{i} as (select gram >> 8 as context, sum(c)::double as total, sum(least(off, c)) as rest from o{i} group by gram >> 8),
+p{i} as (select x.gram, case when t.total is null then {lower} else (greatest(coalesce(o.c - o.off, 0), 0) + t.rest * {lower}) / t.total end as p
+  from ({wanted}) x left join t{i} t on t.context = x.gram >> 8 left join o{i} o on o.gram = x.gram{join})"""
 
 
-QUALITY_CLASSIFIER = f"""with {GRAMS}, {TRUSTED},
-corpus as (select distinct gram from grams),
-c4 as (select gram, count(*) as c from grams semi join good using (doc_id) group by gram),
-c3 as (select gram & 16777215 as gram, count(*) as c from c4 group by 1), c2 as (select gram & 65535 as gram, count(*) as c from c3 group by 1), c1 as (select gram & 255 as gram, count(*) as c from c2 group by 1),
-{', '.join(map(_order, (1, 2, 3, 4)))},
-scored as (select doc_id, -sum(round(ln(p) * {KN_UNIT})::bigint)::double / count(*) / {KN_UNIT} as cost, count(*) as n from grams join p4 using (gram) group by doc_id),
-steps as (select lang, ceil(cost * 1000)::bigint as step from scored join documents using (doc_id) semi join good using (doc_id)),
+def _model(of: str, good: str) -> str:
+    """p4{of} over the documents in ``good``, and the costs it gives (scored{of})."""
+    counts = f"c4{of} as (select gram, count(*) as c from grams semi join {good} using (doc_id) group by gram)"
+    for k in (3, 2, 1):
+        counts += f", c{k}{of} as (select gram & {(1 << 8 * k) - 1} as gram, count(*) as c from c{k + 1}{of} group by 1)"
+    scored = f"select doc_id, -sum(round(ln(p) * {KN_UNIT})::bigint)::double / count(*) / {KN_UNIT} as cost, count(*) as n from grams join p4{of} using (gram) group by doc_id"
+    return f"{counts}, {', '.join(_order(k, of) for k in (1, 2, 3, 4))}, scored{of} as ({scored})"
+
+
+QUALITY_CLASSIFIER = f"""with {GRAMS}, {TRUSTED}, good_a as (select * from good where doc_id % 2 <> 0), good_b as (select * from good where doc_id % 2 <> 1),
+corpus as (select distinct gram from grams), {_model('', 'good')}, {_model('_a', 'good_a')}, {_model('_b', 'good_b')},
+held as (select * from scored_a where doc_id % 2 = 0 union all select * from scored_b where doc_id % 2 = 1),
+steps as (select lang, ceil((cost - 1.0::double / sqrt(n::double)) * 1000)::bigint as step from held join documents using (doc_id) semi join good using (doc_id)),
 ranked as (select lang, step, row_number() over (partition by lang order by step) as k, count(*) over (partition by lang) as total, row_number() over (order by step) as k_all, count(*) over () as total_all from steps),
 each as (select lang, min(step) / 1000.0::double as most from ranked where k >= 0.99 * total and total >= 20 and lang is not null group by lang),
 every as (select min(step) / 1000.0::double as most from ranked where k_all >= 0.99 * total_all),
-out as (select doc_id, lang, cost, coalesce(each.most, every.most) + ln(1.1::double) + 1.0 / sqrt(greatest(coalesce(n, 1), 1)::double) as limit_cost
+out as (select doc_id, lang, cost, coalesce(each.most, every.most) + 1.0::double / sqrt(greatest(coalesce(n, 1), 1)::double) as limit_cost
   from documents left join scored using (doc_id) left join each using (lang), every)
 select doc_id, lang, round(exp(cost), 6) as perplexity, round(exp(limit_cost), 6) as threshold, coalesce(cost is not null and (limit_cost is null or cost <= limit_cost), false) as kept from out"""
 

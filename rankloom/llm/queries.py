@@ -86,9 +86,12 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .editprint import compared
+    from .common import with_row, written
+    from .editprint import compared, near_groups
 
-    return compared(documents(spark, sf_dir))
+    docs = documents(spark, sf_dir)
+    rows = written(compared(docs), "compared")
+    return with_row(rows, near_groups(docs, rows), "inner").drop("rid")
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,11 +10,11 @@ anchor for each ``window`` / 4 words.
 The index keeps the anchors of the texts seen so far as immutable runs: tables
 bucketed and sorted by anchor, one for each batch. A new batch's anchors are
 sorted the same way and merge-joined to the runs; nothing of the history is
-shuffled again. Anchors found in two texts are candidates. All their windows,
+shuffled again. ``save`` and ``load`` carry an index from session to session. Anchors found in two texts are candidates. All their windows,
 of the batch and of the history, are then verified by 128 bits of hash of all
 their words (a second polynomial beside the anchor's), and the smallest doc_id
 of each window decides. Every ``fanout`` runs of a level are compacted to one
-of the next.
+of the next, and their files deleted.
 
 Texts equal as a whole are matched first by a 128-bit hash, so a group of
 copies enters the index once, however large it is.
@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, carried, carried_names, carried_schema, column, keyed, shared_folder, sized, written
+from .common import as_bytes, carried, carried_names, carried_schema, column, deleted, keyed, shared_folder, sized, with_row, written
 
 _U = np.uint64
 #: Words that are hashed in one go.
@@ -167,15 +167,53 @@ class WindowIndex:
         self.runs: list[tuple[int, str]] = []  # level, table
         self.seen: DataFrame | None = None  # t1, t2, first
         self.store: DataFrame | None = None  # rid, doc_id, text of all batches
+        self.seen_at: list[str] = []
+        self.texts_at: list[str] = []
+
+    def _path(self, name: str) -> str:
+        return f"{shared_folder(self.spark)}/rankloom/{name}"
 
     def _write_run(self, rows: DataFrame, level: int) -> None:
         name = f"rankloom_run_{uuid.uuid4().hex}"
         (
             rows.repartition(self.buckets, "anchor").write.bucketBy(self.buckets, "anchor").sortBy("anchor")
-            .option("path", f"{shared_folder(self.spark)}/rankloom/{name}").saveAsTable(name)
+            .option("path", self._path(name)).saveAsTable(name)
         )
         self.runs.append((level, name))
 
+    def drop(self) -> None:
+        """Delete the index's own tables."""
+        for _, name in self.runs:
+            self.spark.sql(f"drop table if exists {name}")
+            deleted(self.spark, self._path(name))
+        for path in self.seen_at:
+            deleted(self.spark, path)
+
+    def save(self, path: str) -> None:
+        """Writes where the index's tables are; they stay in the shared folder. ``load`` goes on from there."""
+        tables = [(level, "run", name, self._path(name)) for level, name in self.runs]
+        tables += [(0, kind, "", p) for kind, ps in (("seen", self.seen_at), ("texts", self.texts_at)) for p in ps]
+        rows = [(self.window, self.fanout, self.buckets, *t) for t in tables]
+        self.spark.createDataFrame(rows, "window int, fanout int, buckets int, level int, kind string, name string, path string").coalesce(1).write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark, path: str) -> "WindowIndex":
+        rows = spark.read.parquet(path).collect()
+        index = cls(spark, rows[0]["window"], rows[0]["fanout"], rows[0]["buckets"])
+        for r in rows:
+            if r["kind"] == "run":
+                if not spark.catalog.tableExists(r["name"]):
+                    columns = "rid bigint, doc_id bigint, anchor bigint"
+                    spark.sql(f"create table {r['name']} ({columns}) using parquet clustered by (anchor) sorted by (anchor) into {index.buckets} buckets location '{r['path']}'")
+                index.runs.append((r["level"], r["name"]))
+            elif r["kind"] == "seen":
+                index.seen_at, index.seen = [r["path"]], spark.read.parquet(r["path"])
+            else:
+                index.texts_at.append(r["path"])
+                part = spark.read.parquet(r["path"])
+                index.store = part if index.store is None else index.store.unionByName(part)
+        return index
+
     def _compact(self) -> None:
         for level in sorted({k for k, _ in self.runs}):
             same = [name for k, name in self.runs if k == level]
@@ -187,11 +225,14 @@ class WindowIndex:
                 self._write_run(rows, level + 1)
                 for name in same:
                     self.spark.sql(f"drop table {name}")
-
-    def add(self, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Add a batch (rid, doc_id, text). Returns, for its texts that
-        have a window, rid and copy (whether an equal text has a smaller
-        doc_id), and its repeated windows (rid, starts)."""
+                    deleted(self.spark, self._path(name))
+
+    def add(self, docs: DataFrame, path: str | None = None) -> tuple[DataFrame, DataFrame]:
+        """Add a batch (rid, doc_id, text; a scan of stored texts, which the index
+        reads again where later batches share an anchor). path: the Parquet table
+        of these three columns, where the index is to be saved. Returns, for its texts that
+        have a window, rid, doc_id and copy (whether an equal text has a smaller
+        doc_id), and its repeated windows (rid, doc_id, starts)."""
         texts = written(text_rows(docs, self.window).withColumn("doc_id", F.coalesce("doc_id", F.lit(_LAST))), "texts")
         own = texts.filter(F.col("n_words") >= self.window)
         firsts = own.groupBy("t1", "t2").agg(F.min(F.struct("doc_id", "rid")).alias("first"))
@@ -204,7 +245,7 @@ class WindowIndex:
         )
         marked = written(marked, "marked")
         # of each group of equal texts, those of the smallest doc_id enter
-        anchors = marked.filter("only").dropDuplicates(["rid"]).select("rid", "doc_id", F.explode("anchors").alias("anchor"))
+        anchors = marked.filter("only").dropDuplicates(["rid", "doc_id"]).select("rid", "doc_id", F.explode("anchors").alias("anchor"))
         earlier = [self.spark.table(name) for _, name in self.runs]
         self._write_run(anchors, 0)
         new = self.spark.table(self.runs[-1][1])
@@ -216,23 +257,29 @@ class WindowIndex:
         hits = new.join(shared, "anchor").withColumn("new", F.lit(True))
         for run in earlier:
             hits = hits.unionByName(run.join(shared, "anchor").withColumn("new", F.lit(False)))
-        wanted = written(hits.groupBy("rid", "new").agg(F.collect_set("anchor").alias("wanted")), "wanted")
+        wanted = written(hits.groupBy("rid", "doc_id", "new").agg(F.collect_set("anchor").alias("wanted")), "wanted")
         self.store = docs if self.store is None else self.store.unionByName(docs)
-        source = self.store.join(sized(wanted, 200_000, "wanted"), "rid").withColumn("doc_id", F.coalesce("doc_id", F.lit(_LAST)))
+        self.texts_at += [path] if path else []
+        source = with_row(self.store.withColumn("doc_id", F.coalesce("doc_id", F.lit(_LAST))), sized(wanted, 200_000, "wanted"), "inner")
         windows = written(candidate_windows(source, self.window), "windows")
         least = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
         # written first, so that both sides of the join are plain exchanges, which adaptive execution splits where a window is in very many documents
         least = written(least.select("h1", "h2", "least"), "least")
         repeated = windows.filter("new").join(least, ["h1", "h2"]).filter("doc_id > least")
-        starts = repeated.groupBy("rid").agg(F.sort_array(F.collect_set("start")).alias("s"))
+        starts = repeated.groupBy("rid", "doc_id").agg(F.sort_array(F.collect_set("start")).alias("s"))
         # of a run of starts, its ends and every window-th start cover the same words
         near = lambda x, i, k: F.coalesce(F.abs(F.get("s", i + k) - x) > 1, F.lit(True))
-        starts = starts.select("rid", F.filter("s", lambda x, i: near(x, i, -1) | near(x, i, 1) | (x % self.window == 0)).alias("starts"))
+        starts = starts.select("rid", "doc_id", F.filter("s", lambda x, i: near(x, i, -1) | near(x, i, 1) | (x % self.window == 0)).alias("starts"))
         starts = written(starts, "starts")
         seen = firsts if self.seen is None else self.seen.unionByName(firsts).groupBy("t1", "t2").agg(F.min("first").alias("first"))
-        self.seen = written(seen, "seen")
+        before = self.seen_at
+        self.seen_at = [self._path(f"seen-{uuid.uuid4().hex}")]
+        seen.write.parquet(self.seen_at[0])
+        self.seen = self.spark.read.parquet(self.seen_at[0])
+        for path in before:
+            deleted(self.spark, path)
         self._compact()
-        return marked.select("rid", "copy").dropDuplicates(["rid"]), starts
+        return marked.select("rid", "doc_id", "copy").dropDuplicates(["rid", "doc_id"]), starts
 
 
 _WORD = re.compile(rb"[^ \t\n\x0b\x0c\r]+[ \t\n\x0b\x0c\r]*")
@@ -247,18 +294,18 @@ def covered(starts: list[int], window: int, n: int) -> np.ndarray:
     return np.cumsum(delta[:-1]) > 0
 
 
-def dedup_substrings(docs: DataFrame, window: int = 50, batches: int = 2, fanout: int = 4, carry: Sequence[str] = ()) -> DataFrame:
+def dedup_substrings(docs: DataFrame, window: int = 50, batches: int = 2, fanout: int = 2, carry: Sequence[str] = ()) -> DataFrame:
     """doc_id, text, n_words, n_removed, kept_sha256 and the columns to carry: a row for each row of docs.
 
-    Documents go through a ``WindowIndex`` in batches by ranges of doc_id,
-    smaller ones first.
+    Documents go through a ``WindowIndex`` in batches of about equal size by
+    ranges of doc_id, smaller ones first.
     """
     rows = keyed(docs, carry)
-    ends = docs.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).first()
     index = WindowIndex(docs.sparkSession, window, fanout)
     copies = starts = None
-    low, high = (ends["a"], ends["b"]) if ends["a"] is not None else (0, 0)
-    cuts = [low + (high - low) * k // batches for k in range(1, batches)]
+    shares = [k / batches for k in range(1, batches)]
+    cuts = [int(x) for x in rows.select("doc_id").filter("doc_id is not null").stat.approxQuantile("doc_id", shares, 0.01)] if shares else []
+    cuts = cuts or [0] * len(shares)  # no row with an id
     for k in range(batches):
         part = F.lit(True)
         if k:
@@ -268,10 +315,13 @@ def dedup_substrings(docs: DataFrame, window: int = 50, batches: int = 2, fanout
         c, s = index.add(rows.select("rid", "doc_id", "text").filter(part))
         copies = c if copies is None else copies.unionByName(c)
         starts = s if starts is None else starts.unionByName(s)
-    every = copies.filter("copy").select("rid", F.lit(True).alias("copy"), F.lit(None).cast("array<int>").alias("starts"))
-    gone = every.unionByName(starts.select("rid", F.lit(False).alias("copy"), "starts"))
-    gone = written(gone.groupBy("rid").agg(F.max("copy").alias("copy"), F.first("starts", ignorenulls=True).alias("starts")), "gone")
-    cols = rows.withColumn("text", F.col("text").cast("binary")).join(sized(gone, 200_000, "starts"), "rid", "left")
+    every = copies.filter("copy").select("rid", "doc_id", F.lit(True).alias("copy"), F.lit(None).cast("array<int>").alias("starts"))
+    gone = every.unionByName(starts.select("rid", "doc_id", F.lit(False).alias("copy"), "starts"))
+    gone = written(gone.groupBy("rid", "doc_id").agg(F.max("copy").alias("copy"), F.first("starts", ignorenulls=True).alias("starts")), "gone")
+    index.drop()
+    there = sized(gone, 200_000, "starts").withColumnsRenamed({"rid": "found_rid", "doc_id": "found_doc"})
+    same = (F.col("rid") == F.col("found_rid")) & (F.coalesce("doc_id", F.lit(_LAST)) == F.col("found_doc"))
+    cols = rows.withColumn("text", F.col("text").cast("binary")).join(there, same, "left").drop("found_rid", "found_doc")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:

@@ -64,6 +64,18 @@ def test_bucket_links_split_large_buckets_without_losing_links(spark, bucket):
     assert {k: v for k, v in got.items() if k in want} == want and got[2**40 + 5] == 5
 
 
+@pytest.mark.parametrize("block", [50, 5000])
+def test_group_links_connect_what_pairs_do(spark, block):
+    """Numbers of one group are the same if they differ by one at most; large groups go through parts, representatives and blocks."""
+    rng = np.random.default_rng(9)
+    values = {i + 1: int(v) for i, v in enumerate(rng.integers(0, 1200, 400))}
+    groups = [(7, i, None) for i in values] + [(8, i, 0) for i in range(1, 101)] + [(9, 1, 5), (9, 2, 5)]
+    df, members = spark.createDataFrame(groups, "g long, id long, fp long"), spark.createDataFrame(list(values.items()), "id long, payload long")
+    found = graph.components(graph.group_links(df, members, lambda a, b: abs(a - b) <= 1, block=block))
+    group = brute.grouped(values, lambda a, b: abs(values[a] - values[b]) <= 1)
+    assert {r["node"]: r["root"] for r in found.collect()} == {i: g for i, g in group.items() if i != g}
+
+
 def test_components_of_a_long_chain_and_no_edges(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(0, 200)] + [(1000, 1001), (7, 7)], "a long, b long")
     got = {r["node"]: r["root"] for r in graph.components(chain).collect()}
@@ -515,28 +527,46 @@ def test_compared(spark, odd, awkward, empty, sf_dir):
 
 
 def test_near_groups(odd, awkward, empty):
-    got = {r["doc_id"]: r["component_id"] for r in editprint.near_groups(odd).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in editprint.near_groups(odd).join(odd.select("doc_id"), "doc_id").collect()}
     texts = dict(pairs(odd))
     by_text = {}
     for d, t in texts.items():
         by_text.setdefault(t or "", set()).add(got[d])
     assert all(len(c) == 1 for c in by_text.values())
-    assert editprint.near_groups(awkward).count() == awkward.count()
+    assert editprint.near_groups(awkward).count() == awkward.select("doc_id", F.coalesce("text", F.lit(""))).distinct().count()
     assert editprint.near_groups(empty).count() == 0
 
 
-def test_near_groups_find_edited_texts(spark, odd):
-    rng = np.random.default_rng(6)
-    rows_, n = [], 0
-    for d, t in pairs(odd):
+def test_near_groups_against_all_pairs(spark, sf_dir):
+    """Nothing is linked that isn't similar, and most of what is similar is found."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    rng, more = np.random.default_rng(6), []
+    for d, t in pairs(docs):
         words = (t or "").split(" ")
-        if len(words) > 60 and "\n" not in t and n < 10:
-            words[int(rng.integers(len(words)))] = "changed"
-            rows_ += [(n, t), (n + 100, " ".join(words))]
-            n += 1
-    df = spark.createDataFrame(rows_, "doc_id long, text string")
+        if 40 < len(words) < 400:
+            for i in rng.choice(len(words), max(1, len(words) // 50), replace=False):
+                words[i] = "changed"
+            more.append((d + 10**6, " ".join(words)))
+    df = docs.unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    texts = dict(pairs(df))
     got = {r["doc_id"]: r["component_id"] for r in editprint.near_groups(df).collect()}
-    assert sum(got[k] == got[k + 100] for k in range(n)) >= 0.7 * n
+    ready = {d: lines.with_bigrams(t or "") for d, t in texts.items()}
+    ids = sorted(texts, key=lambda d: len(ready[d][0]))
+    found = total = 0
+    for k, a in enumerate(ids):
+        may = lines.screen([ready[d] for d in ids[max(0, k - 60) : k + 1]], 0.8)(min(k, 60), np.arange(min(k, 60)))
+        for j in may:
+            b = ids[max(0, k - 60) + j]
+            if lines.similar(ready[a], ready[b], 0.8):
+                total += 1
+                found += got[a] == got[b]
+    assert found >= 0.8 * total > 50
+    groups = {}
+    for d, c in got.items():
+        groups.setdefault(c, []).append(d)
+    for g in groups.values():
+        for d in g if len(g) > 1 else []:
+            assert any(lines.similar(ready[d], ready[o], 0.8) for o in g if o != d)
 
 
 # --- substrings --------------------------------------------------------------------------------------
@@ -551,6 +581,31 @@ def test_substrings(spark, odd, sf_dir, batches):
             assert hashlib.sha256(" ".join(brute.words(r["text"])).encode()).hexdigest() == r["kept_sha256"]
 
 
+def test_an_index_goes_on_after_saving(spark, odd, tmp_path):
+    from rankloom.llm.common import keyed, shared_folder, written
+
+    rows_ = keyed(odd).select("rid", "doc_id", "text").orderBy("doc_id")
+    ids = sorted(d for d, _ in pairs(odd))
+    parts = []
+    for k in range(4):
+        low, high = ids[len(ids) * k // 4], ids[min(len(ids) - 1, len(ids) * (k + 1) // 4)] + (k == 3)
+        rows_.filter((F.col("doc_id") >= low) & (F.col("doc_id") < high)).write.parquet(path := f"{tmp_path}/part{k}")
+        parts.append(path)
+
+    def starts(index, paths):
+        return sorted((r["rid"], tuple(r["starts"])) for p in paths for r in index.add(spark.read.parquet(p), p)[1].collect())
+
+    whole = substrings.WindowIndex(spark, 50, 2)
+    want = starts(whole, parts)
+    first = substrings.WindowIndex(spark, 50, 2)
+    got = starts(first, parts[:2])
+    assert [level for level, _ in first.runs] == [1]
+    first.save(f"{tmp_path}/index")
+    again = substrings.WindowIndex.load(spark, f"{tmp_path}/index")
+    assert sorted(got + starts(again, parts[2:])) == want != []
+    assert [level for level, _ in again.runs] == [2]
+
+
 def test_substrings_of_awkward_rows(awkward, empty):
     out = substrings.dedup_substrings(awkward, 50, 2, carry=["rid"])
     assert out.count() == awkward.count() and "rid" in out.columns
@@ -622,5 +677,5 @@ def test_walks_on_both_sides_of_a_level_share_its_bands():
     ends = [k for k in range(100, len(text) - 1) if steps[k].bit_length() < steps[k + 1].bit_length()]
     assert len(ends) >= 3
     for k in ends:
-        a, b = (set(editprint.band_keys(editprint.as_text(editprint.Walk(editprint.code_points(text[:n]))), 24, 16)) for n in (k, k + 1))
+        a, b = ({x for keys, _ in editprint.band_rows(editprint.as_text(editprint.Walk(editprint.code_points(text[:n]))), 24, 16) for x in keys} for n in (k, k + 1))
         assert len(a & b) >= 24
