@@ -26,7 +26,7 @@ BROADCAST_ROWS = 500_000
 BROADCAST_ITEMS = 4_000_000
 
 #: Bytes of an Arrow batch, so that a task's memory doesn't grow with the length of texts.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 #: ASCII white space that ends a word: \x20 and \x09-\x0D. ``bytes.split()``
 #: splits at exactly these.

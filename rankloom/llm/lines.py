@@ -190,7 +190,7 @@ GRAMS = ((3, 1, 39), (6, 32, 1 << 62))
 #: Min-hashes of a band.
 BAND_ROWS = 4
 #: Distinct lines that a task remembers to sketch a line once.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 
 
 def gram_hashes(lines: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
