@@ -360,18 +360,21 @@ def banded_links(
     table of ids (a column id) their id and payload. more: g, id of further
     candidate groups. Runs of up to ``small`` members give their near pairs, at
     most ``small`` for a row; those of one neighbourhood are verified together, so
-    that what is known to be connected isn't compared. Longer runs are groups for
-    ``group_links``, those of equal members once. Every near pair is compared in
+    that what is known to be connected isn't compared. Longer runs, those that share
+    a member as one, are groups for ``group_links``. Every near pair is compared in
     one of the two ways, or connected already.
     """
     dealt = rows.repartition("key").sortWithinPartitions("key", "id").select("key", "id", "fp", "size")
     found = written(dealt.mapInArrow(_pairer(apart, least, small), PAIRS), "near-pairs")
     pairs = written(found.filter("b is not null").groupBy("a", "b").agg(F.min("d").alias("d")), "pairs")
-    long = found.filter("b is null").select(F.col("key").alias("g"), F.col("a").alias("id"), "fp")
+    long = written(found.filter("b is null").select(F.col("key").alias("g"), F.col("a").alias("id"), "fp"), "long-runs")
     groups = None
     if not long.isEmpty():
-        sets = long.groupBy("g").agg(F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("sum"), F.count(F.lit(1)).alias("n"))
-        groups = long.join(sets.groupBy("sum", "n").agg(F.min("g").alias("g")).select("g"), "g", "left_semi")
+        # runs that share a member are one group, so that a member's payload is moved once and not for every key
+        firsts = long.groupBy("g").agg(F.min("id").alias("b"))
+        roots = components(long.join(firsts, "g").select(F.col("id").alias("a"), "b"))
+        roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+        groups = long.groupBy("id").agg(F.max("fp").alias("fp")).join(roots.withColumnRenamed("node", "id"), "id").select(F.col("root").alias("g"), "id", "fp")
     if more is not None:
         more = more.select("g", "id", F.lit(None).cast("long").alias("fp"))
         groups = more if groups is None else groups.unionByName(more)
