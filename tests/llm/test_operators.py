@@ -76,6 +76,29 @@ def test_group_links_connect_what_pairs_do(spark, block):
     assert {r["node"]: r["root"] for r in found.collect()} == {i: g for i, g in group.items() if i != g}
 
 
+@pytest.mark.parametrize("whole", [0, 100])
+def test_long_runs_that_share_a_member_meet_only_inside(spark, whole):
+    """Twelve runs of 81 members, each sharing its last with the next; up to ``whole`` members of unlike runs aren't compared."""
+    rng = np.random.default_rng(10)
+    values = {i: int(v) for i, v in enumerate(rng.integers(0, 400, 12 * 80 + 1))}
+    runs = {k: list(range(80 * k, 80 * k + 81)) for k in range(12)}
+    rows = spark.createDataFrame([(k, i, 0, 10) for k, m in runs.items() for i in m], "key long, id long, fp long, size long")
+    payloads = spark.createDataFrame([(i, [v, i]) for i, v in values.items()], "id long, payload array<long>")
+
+    def same(a, b):
+        low, high = sorted((a[1], b[1]))
+        assert not whole or high <= 80 * (low // 80) + 80, "members of unlike runs are compared"
+        return abs(a[0] - b[0]) <= 1
+
+    links = graph.banded_links(rows, lambda ids: payloads.join(ids, "id"), same, lambda x: x, None, 26, 0.8, whole=whole)
+    found = {r["node"]: r["root"] for r in graph.components(links).collect()}
+    if whole:
+        group = brute.grouped(values, lambda a, b: abs(values[a] - values[b]) <= 1 and any(a in m and b in m for m in runs.values()))
+    else:
+        group = brute.grouped(values, lambda a, b: abs(values[a] - values[b]) <= 1)
+    assert found == {i: g for i, g in group.items() if i != g}
+
+
 def test_components_of_a_long_chain_and_no_edges(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(0, 200)] + [(1000, 1001), (7, 7)], "a long, b long")
     got = {r["node"]: r["root"] for r in graph.components(chain).collect()}
