@@ -23,6 +23,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
-from .common import as_bytes, column, written
+from .common import as_bytes, column, released, written
 from .tokens import _tokenizer
 
 #: Signs that end many words.
@@ -109,7 +110,10 @@ class WordIds:
             known[w] = known[w[:-1]] + known[w[-1]]
 
 
-_encoders: dict[str, WordIds] = {}
+@lru_cache(maxsize=1)
+def encoder(path: str) -> WordIds:
+    """The one encoder of a worker, however many tasks it runs."""
+    return WordIds(path)
 
 
 def pieces(docs: DataFrame, path: str, length: int = 2048, end: int = 0) -> DataFrame:
@@ -117,7 +121,7 @@ def pieces(docs: DataFrame, path: str, length: int = 2048, end: int = 0) -> Data
     tail = int(end).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _encoders.setdefault(path, WordIds(path))
+        ids = encoder(path)
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             texts = [t.decode() for t in as_bytes(batch)]
@@ -129,6 +133,7 @@ def pieces(docs: DataFrame, path: str, length: int = 2048, end: int = 0) -> Data
                         x.append(y)
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        released()
 
     cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     return cols.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")

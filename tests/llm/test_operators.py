@@ -99,6 +99,24 @@ def test_long_runs_that_share_a_member_meet_only_inside(spark, whole):
     assert found == {i: g for i, g in group.items() if i != g}
 
 
+def test_wide_runs_give_every_near_pair_and_move_no_payload_for_a_key(spark, monkeypatch):
+    """Runs of one key that all share members: pairs by their bits, the longest run as a group; links are those of all near pairs."""
+    rng = np.random.default_rng(13)
+    prints = {i: int(v) for i, v in enumerate(rng.integers(0, 1 << 12, 700))}
+    near = lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 2
+    runs = {k: [i for i in prints if i % 7 in (0, k)] for k in range(1, 7)} | {9: list(range(0, 350))}
+    rows = spark.createDataFrame([(k, i, prints[i], 10) for k, m in runs.items() for i in m], "key long, id long, fp long, size long")
+    payloads = spark.createDataFrame(list(prints.items()), "id long, payload long")
+    moved = []
+    links_of = graph.group_links
+    monkeypatch.setattr(graph, "group_links", lambda groups, *a, **k: moved.append(groups.count()) or links_of(groups, *a, **k))
+    links = graph.banded_links(rows, lambda ids: payloads.join(ids, "id"), lambda a, b: (a ^ b) % 3 != 1, lambda x: x, lambda m: lambda i, x: x, 2, 0.8, wide=300)
+    found = {r["node"]: r["root"] for r in graph.components(links).collect()}
+    group = brute.grouped(prints, lambda a, b: near(a, b) and (prints[a] ^ prints[b]) % 3 != 1 and any(a in m and b in m for m in runs.values()))
+    assert found == {i: g for i, g in group.items() if i != g}
+    assert moved == [350]
+
+
 def test_components_of_a_long_chain_and_no_edges(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(0, 200)] + [(1000, 1001), (7, 7)], "a long, b long")
     got = {r["node"]: r["root"] for r in graph.components(chain).collect()}
@@ -246,6 +264,15 @@ def test_pieces_and_packing(spark, odd, awkward, empty, sf_dir, length):
     assert packing.pack(empty, WORDS).count() == 0
 
 
+def test_a_worker_makes_one_encoder(monkeypatch):
+    """It was made anew for every task, beside the one in use."""
+    made = []
+    monkeypatch.setattr(packing, "WordIds", made.append)
+    packing.encoder.cache_clear()
+    assert [packing.encoder("a vocabulary") for _ in range(3)] == [None] * 3 and made == ["a vocabulary"]
+    packing.encoder.cache_clear()
+
+
 def test_sum_of_squares_takes_the_best_gap():
     def plain(sizes, room):
         gaps, where, out = [], [], []
