@@ -28,6 +28,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -44,7 +45,7 @@ CACHE = 400_000
 #: New words of letters that go through the library as one text.
 TOGETHER = 2000
 #: Characters of texts whose new words are encoded together.
-GROUP = 1 << 21
+GROUP = 1 << 22
 
 #: In texts of these characters only, canonical composition changes nothing,
 #: lower-casing is character by character, and ``str.split`` ends words where
@@ -74,12 +75,17 @@ class WordIds:
                 held += len(texts[j])
                 j += 1
             plain = [_PLAIN.fullmatch(t) is not None and not any(x in t for x in self.special) for t in texts[i:j]]
-            words = [t.lower().split() if p else () for t, p in zip(texts[i:j], plain)]
-            self.learn(set().union(*words))
+            cut = pc.ascii_split_whitespace(pa.array([t.lower() if p else "" for t, p in zip(texts[i:j], plain)], pa.string()))
+            words = cut.flatten().dictionary_encode()
+            distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()  # with the empty one where white space begins or ends a text
+            self.learn(set(filter(None, distinct)))
             known = self.known
-            for t, p, w in zip(texts[i:j], plain, words):
+            data = pa.array([known[x] if x else b"" for x in distinct], pa.large_binary()).take(words.indices)
+            ends = np.frombuffer(data.buffers()[1], dtype=np.int64, count=len(data) + 1)[cut.offsets.to_numpy()].tolist()
+            ids = data.buffers()[2].to_pybytes() if len(data) else b""
+            for t, p, a, b in zip(texts[i:j], plain, ends, ends[1:]):
                 if p:
-                    yield b"".join([known[x] for x in w])
+                    yield ids[a:b]
                 else:
                     yield array("I", self.tok.encode(t, add_special_tokens=False).ids).tobytes()
             i = j

@@ -273,6 +273,22 @@ def test_a_worker_makes_one_encoder(monkeypatch):
     packing.encoder.cache_clear()
 
 
+def test_words_of_a_batch_are_learnt_together(monkeypatch):
+    import public_tokenizers
+    from rankloom.llm import common, packing
+
+    texts = ["", " \t", " Two  words,\r\n", "été À la", "a\x0bb 日本", "x" * 300, "Two words, twice. " * 90_000, "end of the batch " * 90_000]
+    assert sum(map(len, texts)) < common.BATCH_BYTES
+    ids = packing.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    asked = []
+    learn = ids.learn
+    monkeypatch.setattr(ids, "learn", lambda words: asked.append(sorted(words)) or learn(words))
+    got = [np.frombuffer(x, dtype="<u4").tolist() for x in ids.encode(texts)]
+    assert got == [x.ids for x in ids.tok.encode_batch(texts, add_special_tokens=False)]
+    # every distinct word once, for all texts of the batch
+    assert len(asked) == 1 and len(asked[0]) == len(set(asked[0])) and "" not in asked[0] and {"two", "words,", "batch"} <= set(asked[0])
+
+
 def test_sum_of_squares_takes_the_best_gap():
     def plain(sizes, room):
         gaps, where, out = [], [], []
