@@ -117,6 +117,17 @@ def test_wide_runs_give_every_near_pair_and_move_no_payload_for_a_key(spark, mon
     assert moved == [350]
 
 
+def test_written_tables_have_no_checksum_files(spark):
+    """Each of these is a process started beside the executor's."""
+    from pathlib import Path
+
+    from rankloom.llm import common
+
+    table = common.written(spark.range(100).repartition(3), "raw")
+    folder = Path(common.CREATED[-1].removeprefix("file://"))
+    assert table.count() == 100 and list(folder.glob("*.parquet")) and not list(folder.glob(".*.crc"))
+
+
 def test_components_of_a_long_chain_and_no_edges(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(0, 200)] + [(1000, 1001), (7, 7)], "a long, b long")
     got = {r["node"]: r["root"] for r in graph.components(chain).collect()}
