@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import random
 
 import numpy as np
 import pytest
@@ -117,6 +118,53 @@ def test_wide_runs_give_every_near_pair_and_move_no_payload_for_a_key(spark, mon
     assert moved == [350]
 
 
+def test_rows_are_dealt_in_blocks_and_keys_of_one_row_go():
+    """What comes out of the blocks of two tasks are the runs of two members and more, sorted, each member once."""
+    rng = np.random.default_rng(4)
+    rows = np.column_stack([rng.integers(-400, 400, 900), rng.integers(0, 60, 900)])
+    batch = lambda x: graph.pa.RecordBatch.from_arrays([graph.pa.array(c) for c in (x[:, 0] << 40, x[:, 1], x[:, 1] * 3, x[:, 1] + 7)], names=["key", "id", "fp", "size"])
+    blocks = [r for some in (rows[:500], rows[500:]) for x in graph.packed(iter([batch(some)]), 16) for r in x.to_pylist()]
+    assert len(blocks) <= 32
+    blocks = graph.pa.RecordBatch.from_pylist(sorted(blocks, key=lambda r: r["part"]))
+    got = [(r["key"] >> 40, r["id"], r["fp"], r["size"]) for x in graph.unpacked(iter([blocks.slice(0, 7), blocks.slice(7)])) for r in x.to_pylist()]
+    want = set(map(tuple, rows.tolist()))
+    runs = {k: sorted(i for q, i in want if q == k) for k, _ in want}
+    assert sorted(got) == sorted((k, i, 3 * i, i + 7) for k, m in runs.items() if len(m) > 1 for i in m)
+    assert [i for k, i, *_ in got if k == got[0][0]] == runs[got[0][0]]
+
+
+def test_far_pairs_are_told_by_a_bound_that_loses_none():
+    rng = random.Random(6)
+    pairs = []
+    for k in range(300):
+        x = [rng.choice("etaoin shrdl") for _ in range(rng.randint(32, 300))]
+        y = x[:] if k % 3 else [rng.choice("etaoin shrdl") for _ in x]
+        for _ in range(rng.randint(0, len(x) // 3)):
+            at = rng.randrange(len(y))
+            y[at : at + rng.randint(0, 2)] = rng.choice(["", "é", "to"])
+            y = y or ["a"]
+        pairs.append(("".join(x), "".join(y)))
+    members = [lines.with_bigrams(t) for p in pairs for t in p]
+    at = np.arange(len(pairs))
+    fit = lines.may_be_similar(members, 2 * at, 2 * at + 1, 0.8)
+    like = np.array([lines.similar(members[2 * k], members[2 * k + 1], 0.8) for k in at])
+    assert like.sum() > 30 and not (like & ~fit).any() and (fit & ~like).sum() < 0.2 * (~like).sum()
+
+
+@pytest.mark.parametrize("apart", [2, 64])
+def test_a_group_judged_in_turn_is_connected_as_by_all_pairs(apart):
+    rng = np.random.default_rng(21)
+    values, bits = rng.integers(0, 900, 700), rng.integers(0, 1 << 10, 700)
+    like = lambda a, b: abs(int(a) - int(b)) <= 1
+    verify = graph._verifier(like, lambda x: x, None, apart, lambda m, i, j: np.abs(np.array(m)[i] - np.array(m)[j]) <= 3)
+    rows = [{"id": i, "label": i, "fp": None if i % 50 == 0 else int(bits[i]), "payload": int(v)} for i, v in enumerate(values)]
+    out = next(verify(iter([graph.pa.RecordBatch.from_pylist([{"m": rows}])]))).to_pylist()
+    near = lambda a, b: a % 50 == 0 or b % 50 == 0 or (int(bits[a]) ^ int(bits[b])).bit_count() <= apart
+    group = brute.grouped(range(700), lambda a, b: like(values[a], values[b]) and near(a, b))
+    assert brute.grouped(range(700), lambda a, b, links={frozenset(r.values()) for r in out}: frozenset((a, b)) in links) == group
+    assert len(out) == 700 - len(set(group.values()))
+
+
 def test_written_tables_have_no_checksum_files(spark):
     """Each of these is a process started beside the executor's."""
     from pathlib import Path
