@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, column, keyed, sized, top_by_count, written
+from .common import as_bytes, column, keyed, released, sized, top_by_count, written
 from .rules import byte_grams, marked, per_text, text_chunks
 
 ORDER = 4
@@ -71,6 +71,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
                     yield out(held)
                     held = held[:, :0]
         yield out(held)
+        released()
 
     rows = docs.select("text", "trusted").mapInArrow(run, "gram long, n long, t long")
     return rows.groupBy("gram").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
@@ -182,6 +183,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, hot: int = 1 << 19) -> Dat
                 [column(batch, "rid"), column(batch, "doc_id"), column(batch, "lang"), column(batch, "trusted"), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(sums)), rest],
                 names=["rid", "doc_id", "lang", "trusted", "n_grams", "known", "rest"],
             )
+        released()
 
     rows = docs.mapInArrow(run, "rid long, doc_id long, lang string, trusted boolean, n_grams long, known long, rest array<struct<gram: long, times: long>>")
     rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "doc-grams")
