@@ -21,11 +21,17 @@ def _text(c: Column | str) -> Column:
 
 def clean(c: Column | str) -> Column:
     """Lower case after folding lower-case ё to е, white space collapsed; null is empty."""
-    return F.trim(F.regexp_replace(F.lower(F.replace(_text(c), F.lit("ё"), F.lit("е"))), SPACE, " "))
+    return F.trim(F.regexp_replace(folded(c), SPACE, " "))
+
+
+def folded(c: Column | str) -> Column:
+    """Lower case after folding lower-case ё to е; null is empty."""
+    return F.lower(F.replace(_text(c), F.lit("ё"), F.lit("е")))
 
 
 def tokenize(c: Column | str) -> Column:
-    return F.regexp_extract_all(clean(c), F.lit(TOKEN), F.lit(0))
+    # white space ends a token however much of it there is, so it isn't collapsed first
+    return F.regexp_extract_all(folded(c), F.lit(TOKEN), F.lit(0))
 
 
 def token_set(c: Column | str) -> Column:

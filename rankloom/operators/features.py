@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.shared import small, written
 from .ranking import MISSING, rank_table, union_pool
 
 RANKS = ["bm25", "bm25_plain", "fused", "zero", "zero_global", "zero_local", "v2", "v2_global", "v2_local"]
@@ -62,8 +63,10 @@ def pair_columns() -> dict:
 
 
 def pair_features(pairs: DataFrame, queries: DataFrame, items: DataFrame) -> DataFrame:
-    """pairs: query_key, item_id and further columns, kept. Items are cut to those asked for before their texts are read."""
-    needed = items.join(pairs.select("item_id").distinct(), "item_id", "left_semi")
+    """pairs: query_key, item_id and further columns, kept. Items are cut to those asked for before their texts are read,
+    and where these are few no other item's text is moved."""
+    pairs = written(pairs, "pairs")
+    needed = items.join(small(written(pairs.select("item_id").distinct(), "asked")), "item_id", "left_semi")
     rows = pairs.join(query_side(queries), "query_key").join(item_side(needed), "item_id")
     return rows.withColumns(pair_columns())
 
